@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read_table
+from . import bpe, huffman, simhash
+from .common import new_path, read_table
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    huffman.write(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path)
+    return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +36,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {"op1_huffman_ids": op1_huffman_ids, "op5_bpe": op5_bpe, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
