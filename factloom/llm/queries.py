@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, simhash, toxicity
+from . import bpe, decontaminate, huffman, quality, simhash, toxicity
 from .common import new_path, read_table
 
 
@@ -28,6 +28,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", F.exp("log_perplexity").alias("perplexity"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
     coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
@@ -46,7 +52,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_huffman_ids": op1_huffman_ids, "op3_decontaminate": op3_decontaminate, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash}
+    return {"op1_huffman_ids": op1_huffman_ids, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
