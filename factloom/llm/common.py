@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python tasks get so many rows at a time at most: Spark's 10,000 whole texts and their copies can exceed a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns of any name can't clash; a null text is an empty one."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -62,6 +71,21 @@ def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(full)), before[offsets - offsets[0]]
 
 
+def strings(a: pa.Array) -> list:
+    """The values of a text or binary array as Python objects."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def slices(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about so many bytes of text at a time, one row at least."""
+    at = 0
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size)))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each pair of a start and a length, one after the other."""
     ends = np.cumsum(lengths)

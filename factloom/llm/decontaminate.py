@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, words_of
+from .common import strings, texts, words_of
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Hamming radius of the candidate search: windows of similarity 0.8 differ in 10 of 64 bits on average, by 3 more or less.
@@ -26,7 +26,7 @@ _ONES = np.array([bin(x).count("1") for x in range(256)], np.int64)
 def _word_hashes(words: pa.Array) -> np.ndarray:
     coded = words.dictionary_encode()
     h = xxhash.xxh64_intdigest
-    return np.array([h(w) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    return np.array([h(w) for w in strings(coded.dictionary)], np.uint64)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
 def _shingles(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, new_path, ragged, texts
+from .common import delete_path, new_path, ragged, slices, strings, texts
 
 #: Longest code in bits, ids between two checkpoints, and ids from which a block is closed.
 MAX_BITS, STRIDE, BLOCK_IDS = 16, 256, 1 << 17
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _cache: dict[str, "WordIds"] = {}
 
@@ -49,7 +49,7 @@ class WordIds:
         text = pc.if_else(barred, text, pc.ascii_lower(plain)) if pc.any(barred).as_py() else pc.ascii_lower(plain)
         split = pc.ascii_split_whitespace(text)
         coded = pc.list_flatten(split).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = strings(coded.dictionary)
         if len(self.at) + len(pieces) > CACHE_WORDS:
             self.clear()
         new = [p for p in pieces if p not in self.at]
@@ -167,11 +167,11 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
 
         schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                ids, n = words.of(batch["text"].slice(start, 500))
+            for part_rows in slices(batch, 6_000_000):
+                ids, n = words.of(part_rows["text"])
                 ends = np.cumsum(n)
                 ids, n = np.insert(ids, ends, end_id), n + 1
-                names, cuts = batch["doc_id"].slice(start, 500).to_pylist(), np.cumsum(n)
+                names, cuts = part_rows["doc_id"].to_pylist(), np.cumsum(n)
                 at = 0
                 while at < len(n):
                     room = BLOCK_IDS - size

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, texts, words_of
+from .common import staged, strings, texts, words_of
 from .components import connected_components
 
 #: Parts of a fingerprint; each table of variants leaves one of them out.
@@ -38,8 +38,8 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = words_of(batch["text"])
-            words = words.cast(pa.large_binary())
-            fps = [text_fingerprint(words[s:e].to_pylist(), shingle_words) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            words = strings(words.cast(pa.large_binary()))
+            fps = [text_fingerprint(words[s:e], shingle_words) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")

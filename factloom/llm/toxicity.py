@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, slices, staged, strings
 
 #: Labelled rows that the model learns from at most: those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
@@ -92,7 +92,7 @@ def features(text: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     """A row of FEATURES for each text; all zero for a text without words."""
     split = pc.utf8_split_whitespace(text.cast(pa.large_string()))
     coded = pc.list_flatten(split).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = strings(coded.dictionary)
     table, at = WordTable(lexicon, words), coded.indices.to_numpy().astype(np.int64)
     blank = np.array([not w for w in words], bool)
     cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
@@ -136,7 +136,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         n: Counter = Counter()
         toxic: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+            for text, label in zip(strings(batch["text"]), batch["toxic"].to_pylist()):
                 found = {u for word in set(text.split()) for u in units(_core(word))}
                 n.update(found)
                 if label:
@@ -164,8 +164,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], prefix: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in slices(batch, 4_000_000):
                 found = features(pc.fill_null(part.column(at), ""), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c) for c in found.T]], names)
 
@@ -183,6 +182,7 @@ def score(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataF
     repeated rows alike; several labels of a document count as their largest. Without labels of both kinds to learn
     from, every score is 0.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic")).where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
