@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, texts
+from .common import ragged, strings, texts
 
 #: How the tokenizer file's byte-level pre-tokenizer splits a text, in Java's regex dialect.
 SPLIT = (
@@ -164,8 +164,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             parts = [pc.list_flatten(b["words"]).cast(pa.large_binary()) for b in block]
             coded = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries()
             distinct = coded.chunk(0).dictionary
-            special = {i: vocab.special[w] for i, w in enumerate(distinct.to_pylist()) if w in vocab.special} if pc.any(pc.is_in(distinct, pa.array(list(vocab.special), pa.large_binary()))).as_py() else {}
-            data = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8)
+            special = {i: vocab.special[w] for i, w in enumerate(strings(distinct)) if w in vocab.special} if pc.any(pc.is_in(distinct, pa.array(list(vocab.special), pa.large_binary()))).as_py() else {}
+            data = np.frombuffer(b"".join(strings(distinct)), np.uint8)
             ids, counts = encode_words(data, pc.binary_length(distinct).to_numpy(), vocab)
             starts = np.cumsum(counts) - counts
             for i, token in special.items():
@@ -191,7 +191,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = sent.value.__getitem__
         for batch in batches:
-            found = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch["ids"].to_pylist()]
+            found = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in strings(batch["ids"])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
