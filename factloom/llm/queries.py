@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, quality, simhash, toxicity
+from . import bpe, decontaminate, huffman, quality, secrets, simhash, toxicity
 from .common import new_path, read_table
 
 
@@ -51,9 +51,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_huffman_ids": op1_huffman_ids, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash}
+    return {"op1_huffman_ids": op1_huffman_ids, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_secrets": secrets.digest_sql()}
