@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, huffman, licenses, quality, secrets, simhash, toxicity
 from .common import new_path, read_table
 
 
@@ -46,6 +46,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,7 +60,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_huffman_ids": op1_huffman_ids, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
+    return {"op1_huffman_ids": op1_huffman_ids, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
