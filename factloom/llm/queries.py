@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, licenses, pii, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, huffman, languages, licenses, pii, quality, secrets, simhash, toxicity
 from .common import new_path, read_table
 
 
@@ -63,8 +63,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_huffman_ids": op1_huffman_ids, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
+    return {"op1_huffman_ids": op1_huffman_ids, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
