@@ -35,12 +35,39 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces that are not remembered yet: letters alone, which make one word each, many to a text."""
+        letters = np.array([p.isalpha() and p.islower() and max(p) <= "\u017f" for p in new], bool)
+        counts, parts = np.zeros(len(new), np.int64), []
+        plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
+        names = [new[i] for i in plain.tolist()]
+        found = self.tokenizer.encode_batch_fast([" ".join(names[i : i + 500]) for i in range(0, len(names), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, np.int32) for e in found]])
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(plain):
+            raise ValueError("a word of letters didn't become one word of tokens")
+        counts[plain] = np.diff(np.concatenate([[-1], ends]))
+        parts.append(ids)
+        for i in range(0, len(other), 2000):
+            some = other[i : i + 2000]
+            e = self.tokenizer.encode([new[k] for k in some.tolist()], is_pretokenized=True, add_special_tokens=False)
+            counts[some] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            parts.append(np.array(e.ids, np.int32))
+        starts, order, base = np.zeros(len(new), np.int64), np.concatenate([plain, other]), len(self.ids)
+        starts[order] = base + np.cumsum(counts[order]) - counts[order]
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, *parts])
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+
     def of(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids."""
         text = text.cast(pa.large_string())
@@ -52,15 +79,13 @@ class WordIds:
         pieces = strings(coded.dictionary)
         if len(self.at) + len(pieces) > CACHE_WORDS:
             self.clear()
-        new = [p for p in pieces if p not in self.at]
-        if new:
-            found = [self.tokenizer.encode(new[i : i + 2000], is_pretokenized=True, add_special_tokens=False) for i in range(0, len(new), 2000)]
-            counts = np.concatenate([np.bincount(np.array(e.word_ids, np.int64), minlength=min(2000, len(new) - 2000 * k)) for k, e in enumerate(found)])
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.ids = np.concatenate([self.ids, *[np.array(e.ids, np.int32) for e in found]])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        word = np.array([self.at[p] for p in pieces], np.int64)[coded.indices.to_numpy()] if pieces else np.zeros(0, np.int64)
+        get = self.at.get
+        word = np.array([get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            word[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self._learn([pieces[i] for i in new.tolist()])
+        word = word[coded.indices.to_numpy()]
         lengths = self.counts[word]
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
         return self.ids[ragged(self.starts[word], lengths)], np.diff(cuts)
@@ -120,25 +145,26 @@ class Decoder:
 
     def __init__(self, lengths: dict[int, int]):
         codes, bits = canonical(lengths)
-        self.symbol, self.bits = np.zeros(1 << MAX_BITS, np.int32), np.zeros(1 << MAX_BITS, np.int64)
+        self.table = np.zeros(1 << MAX_BITS, np.int32)  # an id and, in the low five bits, its code's length
         for i in lengths:
             low = int(codes[i]) << (MAX_BITS - int(bits[i]))
             high = low + (1 << (MAX_BITS - int(bits[i])))
-            self.symbol[low:high], self.bits[low:high] = i, bits[i]
+            self.table[low:high] = i << 5 | int(bits[i])
 
     def unpack(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
-        raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
-        window = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
-        at, out = checkpoints.astype(np.int64), np.zeros((STRIDE, len(checkpoints)), np.int32)
+        raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(4, np.uint8)]).astype(np.int32)
+        window = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+        at, out = checkpoints.astype(np.int32), np.zeros((STRIDE, len(checkpoints)), np.int32)
         last = 8 * len(payload)
         for k in range(min(STRIDE, n)):
-            peek = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(65535)
-            out[k] = self.symbol[peek]
-            at = np.minimum(at + self.bits[peek], last)
-        return out.T.reshape(-1)[:n]
+            found = self.table[(window[at >> 3] >> (8 - (at & 7))) & 65535]
+            out[k] = found
+            at += found & 31
+            np.minimum(at, last, out=at)
+        return (out >> 5).T.reshape(-1)[:n]
 
 
-CHUNK = "part int, first long, doc_ids array<long>, counts array<long>, ids binary"
+CHUNK = "part int, first long, doc_ids array<long>, counts array<long>, ids binary, seen array<struct<id:long,n:long>>"
 BLOCK = "part int, first long, n_ids long, doc_ids array<long>, counts array<long>, checkpoints array<long>, payload binary"
 
 
@@ -160,17 +186,23 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _cache.get("words") or _cache.setdefault("words", WordIds(sent.value))
         part, first, doc_ids, counts, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        seen = np.zeros(0, np.int64)
 
-        def chunk() -> pa.RecordBatch:
-            row = {"part": part, "first": first, "doc_ids": doc_ids, "counts": counts, "ids": np.concatenate(held).astype(kind).tobytes()}
+        def chunk(last: bool = False) -> pa.RecordBatch:
+            some = np.flatnonzero(seen) if last else []
+            row = {"part": part, "first": first, "doc_ids": doc_ids, "counts": counts, "ids": np.concatenate([np.zeros(0, np.int32), *held]).astype(kind).tobytes(), "seen": [{"id": int(i), "n": int(seen[i])} for i in some]}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+        pair = pa.struct([("id", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("seen", pa.list_(pair))])
         for batch in batches:
             for part_rows in slices(batch, 6_000_000):
                 ids, n = words.of(part_rows["text"])
                 ends = np.cumsum(n)
                 ids, n = np.insert(ids, ends, end_id), n + 1
+                now = np.bincount(ids, minlength=len(seen))
+                now[: len(seen)] += seen
+                seen = now
                 names, cuts = part_rows["doc_id"].to_pylist(), np.cumsum(n)
                 at = 0
                 while at < len(n):
@@ -185,25 +217,15 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
                     if size >= BLOCK_IDS:
                         yield chunk()
                         first, doc_ids, counts, held, size = first + size, [], [], [], 0
-        if held:
-            yield chunk()
+        if len(seen):
+            yield chunk(last=True)
 
     spread = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     chunks_path = new_path(spark, "chunks")
     spread.mapInArrow(tokenize, CHUNK).write.parquet(chunks_path)
     chunks = spark.read.schema(CHUNK).parquet(chunks_path)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                n = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
-
-    counts = chunks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = chunks.select(F.explode("seen").alias("s")).groupBy("s.id").agg(F.sum("s.n").alias("n"))
     lengths = code_lengths({r.id: r.n for r in counts.collect()})
     codes, bits = canonical(lengths)
     table = spark.sparkContext.broadcast((codes, bits))
