@@ -131,3 +131,55 @@ def components(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = staged(named.join(ids, "component").select("fp", "component_id"), "named")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(doc_id, size, set): hashes of the distinct shingles of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, at = words_of(batch["text"])
+            words = strings(words)
+            found = []
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                k = min(shingle_words, e - s)
+                found.append(list({xxhash.xxh64_intdigest(" ".join(words[i : i + k]), 42) - (1 << 63) for i in range(s, e - k + 1)}) if k else [])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, print_words: int = 3) -> DataFrame:
+    """(doc_id, group_id) for each row of docs with an id and words: group_id is the smallest doc_id of its near copies.
+
+    Candidates are the links of SimHash fingerprints over print_words words. A link between different fingerprints is
+    kept if the first documents of both reach the similarity: shared over all distinct shingles of shingle_words words.
+    Documents of one fingerprint are one group. Texts without words and rows without doc_id are in no group; repeated
+    rows are in the same; an empty table gives no rows.
+    """
+    prints = staged(fingerprints(docs, print_words).where("fp <> 0 and doc_id is not null"), "prints")
+    firsts = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    edges = staged(links(firsts), "links")
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    needed = firsts.join(ends, "fp").select(F.col("first").alias("doc_id"), "fp")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+    sets = staged(_shingle_sets(own, shingle_words).dropDuplicates(["doc_id"]).join(needed, "doc_id").select("fp", "shingles"), "sets")
+    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    kept = pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    found = connected_components(kept)
+    named = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = named.groupBy("component").agg(F.min("first").alias("group_id"))
+    by_fp = staged(named.join(ids, "component").select("fp", "group_id"), "named")
+    return prints.join(by_fp, "fp").select("doc_id", "group_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each group the document with the smallest id stays, of rows with one id a single one."""
+    groups = staged(near_duplicates(docs), "groups")
+    gone = groups.where("doc_id <> group_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = staged(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
