@@ -72,7 +72,7 @@ def exact_match(prediction: Column, truth: Column) -> Column:
 
 def relaxed_match(prediction: Column, truth: Column) -> Column:
     """Equal as sets of comma-separated values."""
-    parts = lambda c: F.array_sort(F.array_distinct(F.transform(F.split(F.lower(c), ","), lambda x: F.trim(x))))
+    parts = lambda c: F.array_sort(F.array_distinct(F.transform(F.split(F.lower(c), ","), flatten_space)))
     return (parts(prediction) == parts(truth)).cast("int")
 
 

@@ -20,7 +20,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
     pairs = unit(vectors).join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", "query_label", "vec_id", "label", F.round(_dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where(F.col("rank") <= k)
 
 
 def recall_and_mrr(ranked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
