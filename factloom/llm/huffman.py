@@ -225,7 +225,18 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
     spread.mapInArrow(tokenize, CHUNK).write.parquet(chunks_path)
     chunks = spark.read.schema(CHUNK).parquet(chunks_path)
 
-    counts = chunks.select(F.explode("seen").alias("s")).groupBy("s.id").agg(F.sum("s.n").alias("n"))
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            seen = pc.list_flatten(batch["seen"])
+            ids, n = (pc.struct_field(seen, k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if len(ids):
+                total = np.concatenate([total, np.zeros(max(0, int(ids.max()) + 1 - len(total)), np.int64)])
+                np.add.at(total, ids, n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+
+    counts = chunks.select("seen").mapInArrow(combine, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     lengths = code_lengths({r.id: r.n for r in counts.collect()})
     codes, bits = canonical(lengths)
     table = spark.sparkContext.broadcast((codes, bits))
