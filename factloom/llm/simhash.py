@@ -133,45 +133,153 @@ def components(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _chained(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each start."""
+    h = np.full(len(starts), k, np.uint64)
+    for i in range(k):
+        h = _mixed(h + np.uint64(0x9E3779B97F4A7C15)) ^ words[starts + i]
+    return _mixed(h)
+
+
 def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, size, set): hashes of the distinct shingles of each row's text."""
+    """(doc_id, sid, shingles): the sorted hashes of the distinct shingles of each row with an id and words; sid is their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = words_of(batch["text"])
-            words = strings(words)
-            found = []
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-                k = min(shingle_words, e - s)
-                found.append(list({xxhash.xxh64_intdigest(" ".join(words[i : i + k]), 42) - (1 << 63) for i in range(s, e - k + 1)}) if k else [])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            coded = words.dictionary_encode()
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in strings(coded.dictionary.cast(pa.large_binary()))], np.uint64)
+            words = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+            full = _chained(words, np.arange(max(0, len(words) - shingle_words + 1)), shingle_words)
+            kept, sids, found = [], [], []
+            for row, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                if s < e:
+                    own = full[s : e - shingle_words + 1] if e - s >= shingle_words else _chained(words, np.array([s]), e - s)
+                    found.append(np.unique(own.view(np.int64)))
+                    sids.append(xxhash.xxh64_intdigest(found[-1].tobytes(), 42))
+                    kept.append(row)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(kept, pa.int64())), pa.array(np.array(sids, np.uint64).view(np.int64)), lists], ["doc_id", "sid", "shingles"])
+
+    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, shingles array<long>")
 
-    return texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
 
+#: A shingle that more prefixes hold goes to the end of the order; so many such shingles are sent to the tasks at most.
+OFTEN, MOST_OFTEN = 64, 500_000
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, print_words: int = 3) -> DataFrame:
+
+def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int]) -> DataFrame:
+    """(token, sid, size, place): of each set the first shingles in the order (how often, hash) that any similar set must share one of.
+
+    Of a set of n, a similar one holds at least similarity * n; so not all of the first n - ceil(similarity * n) + 1 can
+    be missing from it, and of two similar sets the first common shingle is in both prefixes.
+    """
+    tokens = np.array(sorted(often), np.int64)
+    levels = np.array([often[x] for x in tokens.tolist()], np.int8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["shingles"]
+            offsets = lists.offsets.to_numpy()
+            sizes, flat = np.diff(offsets), lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            level = np.zeros(len(flat), np.int8)
+            if len(tokens):
+                spot = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+                level = np.where(tokens[spot] == flat, levels[spot], 0)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, level, row))
+            place = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            first = place < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[row]
+            row = row[first]
+            sids = batch["sid"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][first]), pa.array(sids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["token", "sid", "size", "place"])
+
+    return sets.select("sid", "shingles").mapInArrow(run, "token long, sid long, size int, place int")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sids whose sets reach the similarity."""
+    pairs = staged(pairs.distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    needed = staged(sets.join(ends, "sid", "left_semi").select("sid", "shingles"), "needed")
+    both = pairs.join(needed.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(needed.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly what pairs of sets (sid, shingles) of that similarity or more connect.
+
+    Prefixes find every such pair, whatever its fingerprints: equal tokens meet, rare ones first, since often met ones
+    go to the end of the order. In each token's group all are tested against the least; then what isn't connected to
+    it yet is tested again, against the least of the rest, and at last against every member of another component.
+    Pairs within one component need no test, so a large group of near copies is never listed by pairs.
+    """
+    often: dict[int, int] = {}
+    for _ in range(3):
+        met = _prefixes(sets, similarity, often).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
+        top = met.orderBy(F.desc("n"), "token").limit(MOST_OFTEN).toArrow()
+        new = {t: n.bit_length() for t, n in zip(top["token"].to_pylist(), top["n"].to_pylist()) if t not in often}
+        room = MOST_OFTEN - len(often)
+        often.update(list(new.items())[:room])
+        if not new or room <= len(new):
+            break
+    rows = _prefixes(sets, similarity, often)
+    several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    rows = staged(rows.join(several, "token"), "met")
+    edges = None
+    members = rows.withColumn("component", F.col("sid"))
+    one = F.struct("sid", "component", "size", "place")
+
+    def candidates(found: DataFrame) -> DataFrame:
+        """Pairs of the structs x and y; no more can be shared than what follows the first common shingle, itself included."""
+        most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+        found = found.where("x.component <> y.component").where(most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")))
+        return found.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+
+    for step in ("least", "next", "all"):
+        main = members.groupBy("token").agg(F.min(one).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
+        members = staged(members.join(main.where("low <> high").select("token", "x"), "token").withColumn("y", one), "open")
+        if members.isEmpty():
+            break
+        others = members.where("component <> x.component")
+        if step == "least":
+            found = others.select("x", "y")
+        elif step == "next":
+            found = members.select("token", "y").join(others.groupBy("token").agg(F.min("y").alias("x")), "token")
+        else:
+            found = others.select("token", F.col("x.component").alias("main"), F.col("y").alias("x")).join(members.select("token", "y"), "token").where("y.component = main or x.sid < y.sid")
+        kept = _similar(candidates(found), sets, similarity)
+        edges = staged(kept if edges is None else edges.union(kept), "similar")
+        if step != "all":
+            named = connected_components(edges)
+            members = members.select("token", "sid", "size", "place").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    return edges if edges is not None else rows.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) for each row of docs with an id and words: group_id is the smallest doc_id of its near copies.
 
-    Candidates are the links of SimHash fingerprints over print_words words. A link between different fingerprints is
-    kept if the first documents of both reach the similarity: shared over all distinct shingles of shingle_words words.
-    Documents of one fingerprint are one group. Texts without words and rows without doc_id are in no group; repeated
+    Near copies are documents whose distinct shingles of shingle_words words reach the similarity (shared over all), and
+    what such pairs connect; every pair counts. Texts without words and rows without doc_id are in no group; repeated
     rows are in the same; an empty table gives no rows.
     """
-    prints = staged(fingerprints(docs, print_words).where("fp <> 0 and doc_id is not null"), "prints")
-    firsts = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    edges = staged(links(firsts), "links")
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    needed = firsts.join(ends, "fp").select(F.col("first").alias("doc_id"), "fp")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    sets = staged(_shingle_sets(own, shingle_words).dropDuplicates(["doc_id"]).join(needed, "doc_id").select("fp", "shingles"), "sets")
-    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    kept = pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    found = connected_components(kept)
-    named = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = staged(_shingle_sets(docs, shingle_words).select("doc_id", "sid"), "prints")
+    firsts = staged(prints.groupBy("sid").agg(F.min("doc_id").alias("first")), "firsts")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    sets = staged(_shingle_sets(own, shingle_words).select("sid", "shingles"), "sets")
+    found = connected_components(similar_links(sets, similarity))
+    named = firsts.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     ids = named.groupBy("component").agg(F.min("first").alias("group_id"))
-    by_fp = staged(named.join(ids, "component").select("fp", "group_id"), "named")
-    return prints.join(by_fp, "fp").select("doc_id", "group_id")
+    by_sid = staged(named.join(ids, "component").select("sid", "group_id"), "named")
+    return prints.join(by_sid, "sid").select("doc_id", "group_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

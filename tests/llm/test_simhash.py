@@ -77,3 +77,42 @@ def test_empty_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "other words altogether here")]
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
+
+
+def brute_groups(texts, similarity=0.8):
+    """{row: smallest row that pairs of five-word shingle sets of that similarity connect}, by all pairs."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def near_groups(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_duplicates_far_in_fingerprint_bits(spark, monkeypatch):
+    rng = random.Random(11)
+    some = ["w%d" % i for i in range(900)]
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(some) for _ in range(rng.randint(30, 200))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            near = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 50))):
+                near[rng.randrange(len(near))] = rng.choice(some)
+            texts.append(" ".join(near))
+    want = brute_groups(texts)
+    assert sum((brute_fp(texts[i]) ^ brute_fp(texts[g])).bit_count() > 3 for i, g in enumerate(want)) > 30
+    assert near_groups(spark, texts) == want
+    passage = " ".join("p%d" % i for i in range(60))
+    texts = [passage + " " + t if i % 2 else t for i, t in enumerate(texts)]
+    monkeypatch.setattr(simhash, "OFTEN", 3)
+    assert near_groups(spark, texts) == brute_groups(texts)
