@@ -116,3 +116,21 @@ def test_near_duplicates_far_in_fingerprint_bits(spark, monkeypatch):
     texts = [passage + " " + t if i % 2 else t for i, t in enumerate(texts)]
     monkeypatch.setattr(simhash, "OFTEN", 3)
     assert near_groups(spark, texts) == brute_groups(texts)
+
+
+def test_near_duplicates_of_close_fingerprints_test_every_pair(spark):
+    rng = random.Random(23)
+    some = ["w%d" % i for i in range(900)]
+    texts = []
+    for repeats in (4, 6, 9, 200):
+        for _ in range(12):
+            passage = " ".join(rng.sample(some, 9)) + " "
+            words = [rng.choice(some) for _ in range(150)]
+            for _ in range(5):
+                texts.append(passage * repeats + " ".join(words))
+                at = rng.randrange(130)
+                words = [*words[:at], *(rng.choice(some) for _ in range(rng.choice((6, 10, 18)))), *words[at + 18 :]]
+            texts.append(passage * repeats + " ".join(rng.choice(some) for _ in range(150)))
+    want = brute_groups(texts)
+    assert want != list(range(len(texts))) and len(set(want)) > 48
+    assert near_groups(spark, texts) == want
