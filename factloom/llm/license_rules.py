@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: Phrases that always count, and their labels.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -35,9 +37,12 @@ NAMES = (
     ("w3c", "w3c", "w3c software (notice) (and)"), ("zpl-2.1", "zope", "zope public (license) (version) 2 1"), ("blueoak-1", "oak", "blue oak model"), ("hippocratic", "hippocratic", "hippocratic"), ("rail", "rail", "(open) rail (m)"), ("llama-2", "llama", "llama 2 community"), ("llama-3", "llama", "llama 3 community"),
 )
 
+#: Words before "under" that make a wording a notice.
+UNDER = ("licensed", "released", "distributed", "provided", "available", "published")
+
 #: How much a wording says, and its words before and after the name.
 WORDINGS = (
-    (1.0, "(licensed|released|distributed|provided|available|published)! under (the|a|an) (terms) (of) (the)", "(license|licence)"),
+    (1.0, f"({'|'.join(UNDER)})! under (the|a|an) (terms) (of) (the)", "(license|licence)"),
     (0.9, "spdx license identifier", ""),
     (0.8, "(the)", "(license|licence)!"),
 )
@@ -62,11 +67,16 @@ def _words(phrase: str) -> str:
     return "".join(out)
 
 
+def _versions(name: str) -> str:
+    """A version marked as such may be 3, v 3 or, in one word, v3, with or without "version" before."""
+    return re.sub(r"(?:\((?:version|v)\) )+(\d+)", r"(version) (\1|v \1|v\1)!", name)
+
+
 def rules() -> list[tuple[str, str, str, float]]:
     """(keyword, regex, label, weight) in order of priority."""
     out = []
     for weight, before, after in WORDINGS:
-        out += [(f" {keyword} ", _words(before) + _words(name) + _words(after), label, weight) for label, keyword, name in NAMES]
+        out += [(f" {keyword} ", _words(before) + _words(_versions(name)) + _words(after), label, weight) for label, keyword, name in NAMES]
     other = (
         ("rights", "all rights reserved", "all-rights-reserved", 0.5), ("domain", "(released|dedicated|placed)! (in|to|into)! (the) public domain", "public-domain", 1.0), ("domain", "public domain", "public-domain", 0.5),
         ("permission", "permission is hereby granted free of charge to any person obtaining a copy", "mit", 1.0), ("redistribution", "redistribution and use in source and binary forms with or without modification", "bsd", 1.0),

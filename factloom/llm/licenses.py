@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
-from .license_rules import BASE, _words, rules
+from .license_rules import BASE, UNDER, _words, rules
 from .spans import running_sums
 
 #: Words before and after A-Z are made lower case, and texts that can hold a phrase of any rule.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PREFILTER = r"(?i)licen[cs]e|spdx|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|reserved|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|permission|redistribution|commercial|confidential|warranty"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+PREFILTER = rf"(?i)licen[cs]e|(?:{'|'.join(UNDER)}){_GAP}under|spdx|cc{_GAP}by|reserved|public{_GAP}domain|permission|redistribution|commercial|confidential|warranty"
 
 _NONE = "array<struct<start:int,back:int,rank:int,label:string,weight:double>>"
 

@@ -60,3 +60,18 @@ def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op7_licenses(spark, sf).collect()
     assert len(rows) == len(texts) and all(tuple(r)[1:] == brute(texts[r.doc_id]) for r in rows)
+
+
+def test_every_rule_passes_the_prefilter(spark, monkeypatch):
+    shortest = [re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", re.sub(r"\(\?:[^)]*\)\?", "", regex)) for _, regex, _, _ in license_rules.rules()]
+    notices = {
+        "released under the MIT": "mit", "distributed under GPL 2": "gpl-2", "available under Creative Commons Attribution": "cc-by", "published under the terms of the Apache 2.0": "apache-2",
+        "GPL v3 license": "gpl-3", "MPL v2.0 license": "mpl-2", "EUPL v1.2 license": "eupl-1.2", "GPL v 3 license": "gpl-3", "licensed under the GNU General Public License v2": "gpl-2", "under glass": "",
+    }
+    texts = [*notices, *shortest]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    monkeypatch.setattr(licenses, "PREFILTER", "")
+    assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+    assert [got[i][5] for i in range(len(notices))] == list(notices.values())
+    assert all(got[i][5] for i in range(len(notices), len(texts)))
