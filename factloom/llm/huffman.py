@@ -16,8 +16,8 @@ from .common import delete_path, new_path, ragged, slices, strings, texts
 
 #: Longest code in bits, ids between two checkpoints, and ids from which a block is closed.
 MAX_BITS, STRIDE, BLOCK_IDS = 16, 256, 1 << 17
-#: Words that a worker remembers the ids of.
-CACHE_WORDS = 1_000_000
+#: Words that a task remembers the ids of at most.
+CACHE_WORDS = 150_000
 
 _cache: dict[str, "WordIds"] = {}
 
@@ -47,16 +47,16 @@ class WordIds:
     def _learn(self, new: list[str]) -> None:
         """Encode pieces that are not remembered yet: letters alone, which make one word each, many to a text."""
         letters = np.array([p.isalpha() and p.islower() and max(p) <= "\u017f" for p in new], bool)
-        counts, parts = np.zeros(len(new), np.int64), []
-        plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
-        names = [new[i] for i in plain.tolist()]
+        names = [new[i] for i in np.flatnonzero(letters).tolist()]
         found = self.tokenizer.encode_batch_fast([" ".join(names[i : i + 500]) for i in range(0, len(names), 500)], add_special_tokens=False)
         ids = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, np.int32) for e in found]])
         ends = np.flatnonzero(self.ends_word[ids])
-        if len(ends) != len(plain):
-            raise ValueError("a word of letters didn't become one word of tokens")
+        if len(ends) != len(names):  # a vocabulary that marks no ends of words: one by one
+            letters[:] = False
+            ids, ends = ids[:0], ends[:0]
+        plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
+        counts, parts = np.zeros(len(new), np.int64), [ids]
         counts[plain] = np.diff(np.concatenate([[-1], ends]))
-        parts.append(ids)
         for i in range(0, len(other), 2000):
             some = other[i : i + 2000]
             e = self.tokenizer.encode([new[k] for k in some.tolist()], is_pretokenized=True, add_special_tokens=False)
@@ -164,17 +164,30 @@ class Decoder:
         return (out >> 5).T.reshape(-1)[:n]
 
 
-CHUNK = "part int, first long, doc_ids array<long>, counts array<long>, ids binary, seen array<struct<id:long,n:long>>"
+TOKENS = "doc_id long, ids binary"
 BLOCK = "part int, first long, n_ids long, doc_ids array<long>, counts array<long>, checkpoints array<long>, payload binary"
+#: Bytes of text that are tokenized together.
+SLICE_BYTES = 2_000_000
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of ids one after the other, and each row's number of them."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    ids = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].view(kind) if raw is not None else np.zeros(0, kind)
+    return ids, np.diff(at) // np.dtype(kind).itemsize
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
-    """Tokenize docs and write their ids, end_id after each, in ascending doc_id order (nulls first, ties by text).
+    """Tokenize docs and write their ids, end_id after each, in ascending doc_id order (nulls first; ties by their ids).
 
     path/blocks holds a row for each block: its part, the ids before it in the part, its documents and their numbers
     of ids, the bit offset of each 256th id, and the packed codes. path/codes holds the code lengths: codes follow from
     them. A document never spans two blocks. Texts that are null or empty have the end id alone; an empty table
-    writes no block. Codes come from the counts of all ids, collected as at most one row for each id of the vocabulary.
+    writes no block. Codes come from the counts of all ids, collected as at most one row for each id of the vocabulary;
+    more than 65,536 different ids have no codes of 16 bits and raise ValueError. Texts are tokenized where they are
+    read: what is put in order is their ids, of 16 bits each where the vocabulary allows it.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -185,78 +198,67 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _cache.get("words") or _cache.setdefault("words", WordIds(sent.value))
-        part, first, doc_ids, counts, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-        seen = np.zeros(0, np.int64)
-
-        def chunk(last: bool = False) -> pa.RecordBatch:
-            some = np.flatnonzero(seen) if last else []
-            row = {"part": part, "first": first, "doc_ids": doc_ids, "counts": counts, "ids": np.concatenate([np.zeros(0, np.int32), *held]).astype(kind).tobytes(), "seen": [{"id": int(i), "n": int(seen[i])} for i in some]}
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        pair = pa.struct([("id", pa.int64()), ("n", pa.int64())])
-        schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("seen", pa.list_(pair))])
-        for batch in batches:
-            for part_rows in slices(batch, 6_000_000):
-                ids, n = words.of(part_rows["text"])
-                ends = np.cumsum(n)
-                ids, n = np.insert(ids, ends, end_id), n + 1
-                now = np.bincount(ids, minlength=len(seen))
-                now[: len(seen)] += seen
-                seen = now
-                names, cuts = part_rows["doc_id"].to_pylist(), np.cumsum(n)
-                at = 0
-                while at < len(n):
-                    room = BLOCK_IDS - size
-                    upto = min(len(n), int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + room)) + 1)
-                    low, high = cuts[at - 1] if at else 0, cuts[upto - 1]
-                    doc_ids += names[at:upto]
-                    counts += n[at:upto].tolist()
-                    held.append(ids[low:high])
-                    size += int(high - low)
-                    at = upto
-                    if size >= BLOCK_IDS:
-                        yield chunk()
-                        first, doc_ids, counts, held, size = first + size, [], [], [], 0
-        if len(seen):
-            yield chunk(last=True)
-
-    spread = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    chunks_path = new_path(spark, "chunks")
-    spread.mapInArrow(tokenize, CHUNK).write.parquet(chunks_path)
-    chunks = spark.read.schema(CHUNK).parquet(chunks_path)
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for rows in slices(batch, SLICE_BYTES):
+                    ids, n = words.of(rows["text"])
+                    ids = np.insert(ids, np.cumsum(n), end_id).astype(kind)
+                    cuts = np.concatenate([[0], np.cumsum(n + 1)]) * ids.itemsize
+                    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays([rows["doc_id"], binary.cast(pa.binary())], ["doc_id", "ids"])
+        finally:
+            words.clear()  # workers live on after their task
+
+    tokens_path = new_path(spark, "tokens")
+    texts(docs).mapInArrow(tokenize, TOKENS).write.parquet(tokens_path)
+    tokens = spark.read.schema(TOKENS).parquet(tokens_path)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            seen = pc.list_flatten(batch["seen"])
-            ids, n = (pc.struct_field(seen, k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            if len(ids):
-                total = np.concatenate([total, np.zeros(max(0, int(ids.max()) + 1 - len(total)), np.int64)])
-                np.add.at(total, ids, n)
+            now = np.bincount(_flat(batch["ids"], kind)[0], minlength=len(total))
+            now[: len(total)] += total
+            total = now
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    counts = chunks.select("seen").mapInArrow(combine, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     lengths = code_lengths({r.id: r.n for r in counts.collect()})
-    codes, bits = canonical(lengths)
-    table = spark.sparkContext.broadcast((codes, bits))
+    table = spark.sparkContext.broadcast(canonical(lengths))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bits = table.value
+        part, first = TaskContext.get().partitionId(), 0
+        doc_ids, counts, held, size = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            ids = np.concatenate(held)
+            payload, marks = pack(ids, *table.value)
+            row = [part, first, len(ids), doc_ids, counts, marks.tolist(), payload]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int32(), pa.int64(), pa.int64(), longs, longs, longs, pa.binary()]
+        names = [c.split()[0] for c in BLOCK.split(", ")]
         for batch in batches:
-            packed = []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw.as_buffer(), kind)
-                packed.append((len(ids), *pack(ids, codes, bits)))
-            n, payload, marks = zip(*packed)
-            yield pa.RecordBatch.from_arrays(
-                [batch["part"], batch["first"], pa.array(n, pa.int64()), batch["doc_ids"], batch["counts"], pa.array([m.tolist() for m in marks], pa.list_(pa.int64())), pa.array(payload, pa.binary())],
-                ["part", "first", "n_ids", "doc_ids", "counts", "checkpoints", "payload"],
-            )
-
-    chunks.mapInArrow(encode, BLOCK).write.parquet(f"{path}/blocks")
+            ids, n = _flat(batch["ids"], kind)
+            docs_here, cuts, at = batch["doc_id"].to_pylist(), np.concatenate([[0], np.cumsum(n)]), 0
+            while at < len(n):
+                upto = min(len(n), int(np.searchsorted(cuts[1:], cuts[at] + BLOCK_IDS - size)) + 1)
+                doc_ids += docs_here[at:upto]
+                counts += n[at:upto].tolist()
+                held.append(ids[cuts[at] : cuts[upto]])
+                size += int(cuts[upto] - cuts[at])
+                at = upto
+                if size >= BLOCK_IDS:
+                    yield block()
+                    first, doc_ids, counts, held, size = first + size, [], [], [], 0
+        if size:
+            yield block()
+
+    ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    ordered.select("doc_id", "ids").mapInArrow(encode, BLOCK).write.parquet(f"{path}/blocks")
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
-    delete_path(spark, chunks_path)
+    delete_path(spark, tokens_path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
