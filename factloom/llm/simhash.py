@@ -79,9 +79,9 @@ def links(fps: DataFrame) -> DataFrame:
     emits, for each of three parts left out, its rest and all variants of it by one bit (131 rows); equal variants meet
     in one shuffle. Members of one variant with the same left-out part are within two bits of each other: a star to the
     least of them connects them all. Left-out parts that differ in one bit are within three: their least members are
-    linked. Left over are pairs with all three bits in one part, whose rests are equal: there, two-bit and
-    one-bit variants of that part alone meet. No pair within a group is ever listed, so a variant met by very many
-    fingerprints costs no more than its rows; every edge is verified.
+    linked. Left over are pairs with all their bits in one part, whose rests are equal: where such fingerprints aren't
+    connected yet, two-bit and one-bit variants of that part alone meet. No pair within a group is ever listed, so a
+    variant met by very many fingerprints costs no more than its rows; every edge is verified.
     """
     fps = fps.select("fp").where("fp is not null").distinct()
     met = fps.select("fp", F.explode(F.concat(*[_variants(F.col("fp"), b) for b in range(3)])).alias("key")).repartition("key")
@@ -101,14 +101,17 @@ def links(fps: DataFrame) -> DataFrame:
         .agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
         .select("a", "b")
     )
-    return stars.union(crossed).union(_in_one_part(fps)).where("a <> b and bit_count(a ^ b) <= 3").distinct()
+    close = "a <> b and bit_count(a ^ b) <= 3"
+    near = staged(stars.union(crossed).where(close).distinct(), "near")
+    parts = fps.join(connected_components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return near.union(_in_one_part(parts).where(close)).distinct()
 
 
 def _in_one_part(fps: DataFrame) -> DataFrame:
-    """Edges between fingerprints that differ in one part alone."""
-    exact = fps.select("fp", F.explode(F.array(*[_kept(F.col("fp"), b) for b in range(3)])).alias("key"))
-    shared = exact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = exact.join(shared, "key").withColumn("part", _block(F.col("fp"), F.col("key")))
+    """Edges between fingerprints (fp, component) that differ in one part alone and aren't connected yet."""
+    exact = fps.select("fp", "component", F.explode(F.array(*[_kept(F.col("fp"), b) for b in range(3)])).alias("key"))
+    apart = exact.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    near = exact.join(apart, "key").withColumn("part", _block(F.col("fp"), F.col("key")))
     width = max(w for _, w in BLOCKS)
     ball = [(0, 0)] + [(1 << i, 1) for i in range(width)] + [(1 << i | 1 << j, 2) for i in range(width) for j in range(i)]
     flips = F.array(*[F.struct(F.lit(x).cast("long").alias("flip"), F.lit(n).alias("bits")) for x, n in ball])
@@ -149,7 +152,7 @@ def _chained(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 
 def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, sid, shingles): the sorted hashes of the distinct shingles of each row with an id and words; sid is their hash."""
+    """(doc_id, sid, fp, shingles): the sorted hashes of the distinct shingles of each row with an id and words, their hash and their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,17 +161,21 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
             hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in strings(coded.dictionary.cast(pa.large_binary()))], np.uint64)
             words = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
             full = _chained(words, np.arange(max(0, len(words) - shingle_words + 1)), shingle_words)
-            kept, sids, found = [], [], []
+            kept, sids, fps, found = [], [], [], []
             for row, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 if s < e:
                     own = full[s : e - shingle_words + 1] if e - s >= shingle_words else _chained(words, np.array([s]), e - s)
-                    found.append(np.unique(own.view(np.int64)))
-                    sids.append(xxhash.xxh64_intdigest(found[-1].tobytes(), 42))
+                    own = np.unique(own.view(np.int64))
+                    found.append(own)
                     kept.append(row)
+                    sids.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                    fps.append(np.packbits(2 * np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(own)))
+            long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(kept, pa.int64())), pa.array(np.array(sids, np.uint64).view(np.int64)), lists], ["doc_id", "sid", "shingles"])
+            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "fp", "shingles"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, shingles array<long>")
+    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, fp long, shingles array<long>")
 
 
 #: A shingle that more prefixes hold goes to the end of the order; so many such shingles are sent to the tasks at most.
@@ -214,13 +221,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect exactly what pairs of sets (sid, shingles) of that similarity or more connect.
+def close_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of sids: sets whose fingerprints are equal or linked by ball hashing, and that reach the similarity."""
+    classes = staged(sets.groupBy("fp").agg(F.min("sid").alias("least")), "classes")
+    same = sets.select("sid", "fp").join(classes, "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    end = lambda c: classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_sid"))
+    across = links(classes).join(end("a"), "a").join(end("b"), "b").select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b"))
+    return _similar(same.union(across), sets, similarity)
+
 
-    Prefixes find every such pair, whatever its fingerprints: equal tokens meet, rare ones first, since often met ones
-    go to the end of the order. In each token's group all are tested against the least; then what isn't connected to
-    it yet is tested again, against the least of the rest, and at last against every member of another component.
-    Pairs within one component need no test, so a large group of near copies is never listed by pairs.
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly what pairs of sets (sid, fp, shingles) of that similarity or more connect.
+
+    Fingerprints within three bits are linked first, by ball hashing, and each link verified. Sets of similarity 0.8
+    differ in ten bits on average, so most pairs of different texts lie beyond any radius that a ball can have; an exact
+    way finds the rest, whatever their bits: sets whose prefixes share a shingle meet, rare shingles first, since often
+    met ones go to the end of the order. Of two sets the smaller can be met in its shorter prefix only: both together
+    hold fewer shingles than it needs to share with an equal or larger one. In each shingle's group all are tested
+    against one, then what isn't connected yet against another, and at last those of different components. Pairs within
+    one component need no test, so a large group of near copies is never listed by pairs.
     """
     often: dict[int, int] = {}
     for _ in range(3):
@@ -234,34 +253,35 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     rows = _prefixes(sets, similarity, often)
     several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     rows = staged(rows.join(several, "token"), "met")
-    edges = None
-    members = rows.withColumn("component", F.col("sid"))
-    one = F.struct("sid", "component", "size", "place")
-
-    def candidates(found: DataFrame) -> DataFrame:
-        """Pairs of the structs x and y; no more can be shared than what follows the first common shingle, itself included."""
+    edges = staged(close_links(sets, similarity), "similar")
+    share = similarity / (1 + similarity)
+    one = F.struct("size", "sid", "place", "component")
+    short = F.col("place") < F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - F.lit(1e-6)) + 1
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows of shingles that different components hold, one of them in its shorter prefix."""
+        named = connected_components(edges).withColumnRenamed("node", "sid")
+        members = rows.select("token", "sid", "size", "place").join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        apart = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(short).alias("some")).where("low <> high and some").select("token")
+        return staged(members.join(apart, "token"), "open")
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs of the structs x and y, x the smaller; no more can be shared than what follows the first common shingle, itself included."""
+        both = F.col("x.size") + F.col("y.size")
         most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-        found = found.where("x.component <> y.component").where(most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")))
+        found = met.where("x.component <> y.component and (x.size < y.size or (x.size = y.size and x.sid < y.sid))")
+        found = found.where((most + 1e-6 >= F.lit(share) * both) & (F.col("x.size") + 1e-6 >= F.lit(similarity) * F.col("y.size")))
         return found.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
-    for step in ("least", "next", "all"):
-        main = members.groupBy("token").agg(F.min(one).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
-        members = staged(members.join(main.where("low <> high").select("token", "x"), "token").withColumn("y", one), "open")
-        if members.isEmpty():
+    for pivot in (F.min, F.max, None):
+        rows = labelled(rows)
+        if rows.isEmpty():
             break
-        others = members.where("component <> x.component")
-        if step == "least":
-            found = others.select("x", "y")
-        elif step == "next":
-            found = members.select("token", "y").join(others.groupBy("token").agg(F.min("y").alias("x")), "token")
-        else:
-            found = others.select("token", F.col("x.component").alias("main"), F.col("y").alias("x")).join(members.select("token", "y"), "token").where("y.component = main or x.sid < y.sid")
-        kept = _similar(candidates(found), sets, similarity)
-        edges = staged(kept if edges is None else edges.union(kept), "similar")
-        if step != "all":
-            named = connected_components(edges)
-            members = members.select("token", "sid", "size", "place").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    return edges if edges is not None else rows.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+        xs, ys = rows.where(short).select("token", one.alias("x")), rows.select("token", one.alias("y"))
+        if pivot is not None:
+            xs = xs.groupBy("token").agg(pivot("x").alias("x"))
+        edges = staged(edges.union(_similar(candidates(xs.join(ys, "token")), sets, similarity)), "similar")
+    return edges
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -274,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     prints = staged(_shingle_sets(docs, shingle_words).select("doc_id", "sid"), "prints")
     firsts = staged(prints.groupBy("sid").agg(F.min("doc_id").alias("first")), "firsts")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    sets = staged(_shingle_sets(own, shingle_words).select("sid", "shingles"), "sets")
+    sets = staged(_shingle_sets(own, shingle_words).select("sid", "fp", "shingles"), "sets")
     found = connected_components(similar_links(sets, similarity))
     named = firsts.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     ids = named.groupBy("component").agg(F.min("first").alias("group_id"))
