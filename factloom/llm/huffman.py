@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from .common import delete_path, new_path, ragged, slices, strings, texts
 
 #: Longest code in bits, ids between two checkpoints, and ids from which a block is closed.
 MAX_BITS, STRIDE, BLOCK_IDS = 16, 256, 1 << 17
-#: Words that a task remembers the ids of at most.
-CACHE_WORDS = 150_000
+#: Words that a worker remembers the ids of at most, some 60 bytes each.
+CACHE_WORDS = 600_000
 
 _cache: dict[str, "WordIds"] = {}
 
@@ -30,6 +31,7 @@ class WordIds:
     """
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already take all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -41,8 +43,8 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.words = pa.array([], pa.large_string())
+        self.starts, self.counts, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces that are not remembered yet: letters alone, which make one word each, many to a text."""
@@ -55,18 +57,17 @@ class WordIds:
             letters[:] = False
             ids, ends = ids[:0], ends[:0]
         plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
-        counts, parts = np.zeros(len(new), np.int64), [ids]
+        counts, parts = np.zeros(len(new), np.int32), [ids]
         counts[plain] = np.diff(np.concatenate([[-1], ends]))
         for i in range(0, len(other), 2000):
             some = other[i : i + 2000]
             e = self.tokenizer.encode([new[k] for k in some.tolist()], is_pretokenized=True, add_special_tokens=False)
             counts[some] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
             parts.append(np.array(e.ids, np.int32))
-        starts, order, base = np.zeros(len(new), np.int64), np.concatenate([plain, other]), len(self.ids)
+        starts, order, base = np.zeros(len(new), np.int32), np.concatenate([plain, other]), len(self.ids)
         starts[order] = base + np.cumsum(counts[order]) - counts[order]
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, *parts])
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
 
     def of(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids."""
@@ -76,17 +77,17 @@ class WordIds:
         text = pc.if_else(barred, text, pc.ascii_lower(plain)) if pc.any(barred).as_py() else pc.ascii_lower(plain)
         split = pc.ascii_split_whitespace(text)
         coded = pc.list_flatten(split).dictionary_encode()
-        pieces = strings(coded.dictionary)
-        if len(self.at) + len(pieces) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self.clear()
-        get = self.at.get
-        word = np.array([get(p, -1) for p in pieces], np.int64)
-        new = np.flatnonzero(word < 0)
-        if len(new):
-            word[new] = np.arange(len(self.at), len(self.at) + len(new))
-            self._learn([pieces[i] for i in new.tolist()])
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        new, word = known.is_null().to_numpy(zero_copy_only=False), known.fill_null(0).to_numpy().copy()
+        if new.any():
+            word[new] = np.arange(len(self.words), len(self.words) + new.sum())
+            pieces = coded.dictionary.filter(pa.array(new))
+            self._learn(strings(pieces))
+            self.words = pa.concat_arrays([self.words, pieces])
         word = word[coded.indices.to_numpy()]
-        lengths = self.counts[word]
+        lengths = self.counts[word].astype(np.int64)
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
         return self.ids[ragged(self.starts[word], lengths)], np.diff(cuts)
 
@@ -167,7 +168,7 @@ class Decoder:
 TOKENS = "doc_id long, ids binary"
 BLOCK = "part int, first long, n_ids long, doc_ids array<long>, counts array<long>, checkpoints array<long>, payload binary"
 #: Bytes of text that are tokenized together.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 3_000_000
 
 
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -198,16 +199,13 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _cache.get("words") or _cache.setdefault("words", WordIds(sent.value))
-        try:
-            for batch in batches:
-                for rows in slices(batch, SLICE_BYTES):
-                    ids, n = words.of(rows["text"])
-                    ids = np.insert(ids, np.cumsum(n), end_id).astype(kind)
-                    cuts = np.concatenate([[0], np.cumsum(n + 1)]) * ids.itemsize
-                    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
-                    yield pa.RecordBatch.from_arrays([rows["doc_id"], binary.cast(pa.binary())], ["doc_id", "ids"])
-        finally:
-            words.clear()  # workers live on after their task
+        for batch in batches:
+            for rows in slices(batch, SLICE_BYTES):
+                ids, n = words.of(rows["text"])
+                ids = np.insert(ids, np.cumsum(n), end_id).astype(kind)
+                cuts = np.concatenate([[0], np.cumsum(n + 1)]) * ids.itemsize
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], binary.cast(pa.binary())], ["doc_id", "ids"])
 
     tokens_path = new_path(spark, "tokens")
     texts(docs).mapInArrow(tokenize, TOKENS).write.parquet(tokens_path)
