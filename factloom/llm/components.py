@@ -35,5 +35,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     found = steps[-1].select("node", F.col("to").alias("component"))
     for step in reversed(steps[:-1]):
         later = found.select(F.col("node").alias("to"), "component")
-        found = staged(step.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component")), "found")
-    return found
+        found = step.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    return staged(found, "found")

@@ -71,7 +71,7 @@ def _variants(fp: Column, block: int) -> Column:
     return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: _kept(fp.bitwiseXOR(x), block))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, one_part: bool = True) -> DataFrame:
     """Edges (a, b) that connect exactly what pairs of fingerprints (fp long) within three bits connect.
 
     Meet in the middle: of two fingerprints within three bits, some part can be left out so that the rest differs in
@@ -81,7 +81,8 @@ def links(fps: DataFrame) -> DataFrame:
     least of them connects them all. Left-out parts that differ in one bit are within three: their least members are
     linked. Left over are pairs with all their bits in one part, whose rests are equal: where such fingerprints aren't
     connected yet, two-bit and one-bit variants of that part alone meet. No pair within a group is ever listed, so a
-    variant met by very many fingerprints costs no more than its rows; every edge is verified.
+    variant met by very many fingerprints costs no more than its rows; every edge is verified. Without one_part that
+    last step is left out.
     """
     fps = fps.select("fp").where("fp is not null").distinct()
     met = fps.select("fp", F.explode(F.concat(*[_variants(F.col("fp"), b) for b in range(3)])).alias("key")).repartition("key")
@@ -102,7 +103,10 @@ def links(fps: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     close = "a <> b and bit_count(a ^ b) <= 3"
-    near = staged(stars.union(crossed).where(close).distinct(), "near")
+    near = stars.union(crossed).where(close).distinct()
+    if not one_part:
+        return near
+    near = staged(near, "near")
     parts = fps.join(connected_components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     return near.union(_in_one_part(parts).where(close)).distinct()
 
@@ -226,7 +230,7 @@ def close_links(sets: DataFrame, similarity: float) -> DataFrame:
     classes = staged(sets.groupBy("fp").agg(F.min("sid").alias("least")), "classes")
     same = sets.select("sid", "fp").join(classes, "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
     end = lambda c: classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_sid"))
-    across = links(classes).join(end("a"), "a").join(end("b"), "b").select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b"))
+    across = links(classes, one_part=False).join(end("a"), "a").join(end("b"), "b").select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b"))
     return _similar(same.union(across), sets, similarity)
 
 
@@ -238,11 +242,11 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     way finds the rest, whatever their bits: sets whose prefixes share a shingle meet, rare shingles first, since often
     met ones go to the end of the order. Of two sets the smaller can be met in its shorter prefix only: both together
     hold fewer shingles than it needs to share with an equal or larger one. In each shingle's group all are tested
-    against one, then what isn't connected yet against another, and at last those of different components. Pairs within
-    one component need no test, so a large group of near copies is never listed by pairs.
+    against the smallest, then those of different components against each other. Pairs within one component need no
+    test, so a large group of near copies is never listed by pairs.
     """
     often: dict[int, int] = {}
-    for _ in range(3):
+    for _ in range(2):
         met = _prefixes(sets, similarity, often).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
         top = met.orderBy(F.desc("n"), "token").limit(MOST_OFTEN).toArrow()
         new = {t: n.bit_length() for t, n in zip(top["token"].to_pylist(), top["n"].to_pylist()) if t not in often}
@@ -273,13 +277,13 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         found = found.where((most + 1e-6 >= F.lit(share) * both) & (F.col("x.size") + 1e-6 >= F.lit(similarity) * F.col("y.size")))
         return found.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
-    for pivot in (F.min, F.max, None):
+    for smallest in (True, False):
         rows = labelled(rows)
         if rows.isEmpty():
             break
         xs, ys = rows.where(short).select("token", one.alias("x")), rows.select("token", one.alias("y"))
-        if pivot is not None:
-            xs = xs.groupBy("token").agg(pivot("x").alias("x"))
+        if smallest:
+            xs = xs.groupBy("token").agg(F.min("x").alias("x"))
         edges = staged(edges.union(_similar(candidates(xs.join(ys, "token")), sets, similarity)), "similar")
     return edges
 
