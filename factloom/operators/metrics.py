@@ -209,7 +209,7 @@ def flag_partitions(t: Tables) -> DataFrame:
 @_register("devices_with_same_vrf", "interfaces_in_vrf", "vrf_interface_bind_count")
 def by_vrf(t: Tables) -> DataFrame:
     """A VRF's devices: by BGP, service or interface binding; its interfaces, over all devices and of each."""
-    bound = t["interfaces"].where(~falsy(F.col("vrf")))
+    bound = t["interfaces"].where(~falsy(F.col("vrf"))).join(t["devices"].select("ord"), "ord", "left_semi")
     members = t["vrfs"].select("vrf", "ord").union(t["service_vrfs"].select("vrf", "ord")).union(bound.select("vrf", "ord")).distinct().join(t["devices"].select("ord", "host"), "ord")
     out = _long(members.groupBy("vrf").agg(_set(F.col("host")).alias("x")), "vrf", {"devices_with_same_vrf": F.col("x")})
     out = out.union(_long(bound.groupBy("vrf").agg(F.count("*").alias("n")), "vrf", {"interfaces_in_vrf": F.col("n")}))

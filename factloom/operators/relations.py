@@ -24,9 +24,12 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[Column | str], n:
 
 
 def argmax_first(df: DataFrame, value: str, order: str) -> DataFrame:
-    """The row of the largest value, the first in order of those: one aggregate, no sort of the whole."""
+    """The row of the largest value, the first in order of those: one aggregate, no sort of the whole.
+
+    A null value never wins over another; an empty table gives no row.
+    """
     whole = F.struct(*[F.col(c) for c in df.columns])
-    return df.agg(F.min_by(whole, F.struct(-F.col(value), F.col(order))).alias("r")).select("r.*")
+    return df.agg(F.min_by(whole, F.struct(F.col(value).isNull(), -F.col(value), F.col(order))).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def argmax_ties(df: DataFrame, value: str) -> DataFrame:

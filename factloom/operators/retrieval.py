@@ -12,20 +12,20 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, label, score, rank): the k nearest others of each query, ties by vec_id.
+    """(query_id, vec_id, label, score, rank): the k nearest others of each query, ties by vec_id. A vector of length zero is 0 alike to all.
 
     queries is a stated, small set: it is sent to the tasks, and vectors stay where they are but for k rows each.
     """
     unit = lambda df: df.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
     q = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
     pairs = unit(vectors).join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "query_label", "vec_id", "label", F.round(_dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
+    scored = pairs.select("query_id", "query_label", "vec_id", "label", F.round(F.coalesce(F.try_divide(_dot(F.col("embedding"), F.col("q")), F.col("norm") * F.col("qn")), F.lit(0.0)), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where(F.col("rank") <= k)
 
 
 def recall_and_mrr(ranked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
-    """For each k-list: recall, whether any hit, reciprocal rank of the first; averaged over queries."""
+    """For each k-list: recall, whether any hit, reciprocal rank of the first; averaged over queries; recall over those with anything to find."""
     hit = F.col("label") == F.col("query_label")
     each = ranked.where(F.col("rank") <= k).groupBy("query_id", "query_label").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"))
     joined = each.join(totals, F.col("query_label") == F.col("label"))
-    return joined.agg(F.count("*").alias("n"), F.round(F.avg(F.col("hits") / F.col("total")), 6).alias("recall"), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return joined.agg(F.count("*").alias("n"), F.round(F.avg(F.try_divide(F.col("hits"), F.col("total"))), 6).alias("recall"), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))

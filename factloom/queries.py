@@ -129,16 +129,23 @@ def flag_partition(spark, sf):
 
 
 _EDGES = """WITH e AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n, CAST(floor(sum(CAST(l_discount * 100 AS INT)) / count(*) * 10) AS BIGINT) AS bucket FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-    top AS (SELECT * FROM e ORDER BY n DESC, a, b LIMIT 250) """
+    top AS (SELECT * FROM e) """
+_STRONG = _EDGES.replace("SELECT * FROM e)", "SELECT * FROM e WHERE n > (SELECT avg(n) FROM e))")
 
 
-def _edges(spark, sf, n=250):
-    """Nation edges, customer to supplier, the n with most lines."""
+def _edges(spark, sf):
+    """Nation edges, customer to supplier."""
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_discount") * 100).cast("int").alias("d"))  # noqa: E741
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a")), "o_custkey")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b"))
-    e = l.join(s, "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.floor(F.sum("d") / F.count("*") * 10).cast("long").alias("bucket"))
-    return e.orderBy(F.desc("n"), "a", "b").limit(n)
+    return l.join(s, "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.floor(F.sum("d") / F.count("*") * 10).cast("long").alias("bucket"))
+
+
+def _strong(spark, sf):
+    """Nation edges with more lines than the mean edge."""
+    e = _edges(spark, sf)
+    mean = e.agg(F.avg("n")).first()[0]
+    return e.where(F.col("n") > F.lit(mean))
 
 
 @_query(_EDGES + "SELECT a || '<->' || b AS pair, n FROM top")
@@ -146,9 +153,10 @@ def directed_pairs(spark, sf):
     return _edges(spark, sf).select(F.concat_ws("<->", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"), "n")
 
 
-@_query(_EDGES + "SELECT a, b FROM top t WHERE NOT EXISTS (SELECT 1 FROM top r WHERE r.a = t.b AND r.b = t.a)")
+@_query(_STRONG + "SELECT a, b FROM top t WHERE NOT EXISTS (SELECT 1 FROM top r WHERE r.a = t.b AND r.b = t.a)")
 def unidirectional_pairs(spark, sf):
-    e = _edges(spark, sf)
+    """Strong edges whose way back isn't one."""
+    e = _strong(spark, sf)
     return e.select("a", "b").join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
 
 
@@ -253,27 +261,26 @@ def composite_compare(spark, sf):
 
 # ---- graphs
 
-_TOP = _EDGES.replace("LIMIT 250", "LIMIT 60")
 _WALK = ", u AS (SELECT a, b FROM top{0} UNION SELECT b, a FROM top{0}), w AS (SELECT CAST({1} AS BIGINT) AS node, 0 AS hops, '{1}' AS path UNION ALL SELECT b, hops + 1, path || '>' || b FROM w JOIN u ON u.a = w.node WHERE hops < 3 AND NOT list_contains(string_split(path, '>'), CAST(b AS STRING))) "
 
 
-def _small_graph(spark, sf):
-    return _edges(spark, sf, 60).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"))
+def _graph(spark, sf):
+    return _strong(spark, sf).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"))
 
 
-@_query(_TOP.replace("WITH e", "WITH RECURSIVE e", 1) + _WALK.format("", 3) + "SELECT node, min(hops) AS hops, arg_min(path, lpad(CAST(hops AS STRING), 2, '0') || path) AS path FROM w GROUP BY node")
+@_query(_STRONG.replace("WITH e", "WITH RECURSIVE e", 1) + _WALK.format("", 3) + "SELECT node, min(hops) AS hops, arg_min(path, lpad(CAST(hops AS STRING), 2, '0') || path) AS path FROM w GROUP BY node")
 def shortest_path(spark, sf):
-    return graph.shortest_paths(_small_graph(spark, sf), 3, 3)
+    return graph.shortest_paths(_graph(spark, sf), 3, 3)
 
 
-@_query(_TOP.replace("WITH e", "WITH RECURSIVE e", 1) + _WALK.format(" WHERE NOT (least(a, b) = 3 AND greatest(a, b) = 9)", 3) + "SELECT node, min(hops) AS hops, arg_min(path, lpad(CAST(hops AS STRING), 2, '0') || path) AS path FROM w WHERE node = 9 GROUP BY node")
+@_query(_STRONG.replace("WITH e", "WITH RECURSIVE e", 1) + _WALK.format(" WHERE NOT (least(a, b) = 3 AND greatest(a, b) = 9)", 3) + "SELECT node, min(hops) AS hops, arg_min(path, lpad(CAST(hops AS STRING), 2, '0') || path) AS path FROM w WHERE node = 9 GROUP BY node")
 def path_without_edge(spark, sf):
-    return graph.path_without_edge(_small_graph(spark, sf), 3, 9, 3)
+    return graph.path_without_edge(_graph(spark, sf), 3, 9, 3)
 
 
-@_query(_TOP.replace("LIMIT 60", "LIMIT 12").replace("WITH e", "WITH RECURSIVE e", 1) + ", u AS (SELECT a, b FROM top UNION SELECT b, a FROM top), r AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT CAST(node AS BIGINT) AS node, CAST(min(seen) AS BIGINT) AS component FROM r GROUP BY node")
+@_query(_STRONG.replace("WITH e", "WITH RECURSIVE e", 1) + ", u AS (SELECT a, b FROM top UNION SELECT b, a FROM top), r AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT CAST(node AS BIGINT) AS node, CAST(min(seen) AS BIGINT) AS component FROM r GROUP BY node")
 def components(spark, sf):
-    return graph.components(_edges(spark, sf, 12).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst")))
+    return graph.components(_graph(spark, sf))
 
 
 @_query("SELECT a, b, count(*) AS n FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL GROUP BY 1, 2")
@@ -292,9 +299,9 @@ def path_string_and_symmetry(spark, sf):
 # ---- datasets
 
 
-@_query("SELECT n_name || ' / ' || s AS scope FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE n_regionkey = 1")
+@_query("SELECT n_name || ' / ' || s AS scope FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer)")
 def scope_cross(spark, sf):
-    return table(spark, sf, "nation").where("n_regionkey = 1").crossJoin(F.broadcast(table(spark, sf, "customer").select("c_mktsegment").distinct())).select(F.concat_ws(" / ", "n_name", "c_mktsegment").alias("scope"))
+    return table(spark, sf, "nation").crossJoin(F.broadcast(table(spark, sf, "customer").select("c_mktsegment").distinct())).select(F.concat_ws(" / ", "n_name", "c_mktsegment").alias("scope"))
 
 
 @_query("SELECT c_nationkey, c_mktsegment, c_custkey, 'How many orders has ' || c_name || ' of ' || n_name || '?' AS question FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey) WHERE k = 1")
@@ -352,13 +359,13 @@ def ping_parse(spark, sf):
     return e.select("event_id", part(1).alias("received"), part(2).cast("int").alias("sent"), F.round(100.0 * (part(2) - part(1)) / part(2), 2).alias("loss"), part(3).alias("low"), part(4).alias("mean"), part(5).alias("high"))
 
 
-_TAGGED = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[GROUND_TRUTH]' || chr(10) || left(text, 20) || chr(10) || '[EXPLANATION]' || chr(10) || left(text, 40) WHEN 1 THEN left(text, 25) ELSE text END AS t FROM conversations"
+_TAGGED = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[GROUND_TRUTH]' || chr(10) || text || chr(10) || '[EXPLANATION]' || chr(10) || role ELSE text END AS t FROM conversations"
 
 
 @_query(f"SELECT conv_id, turn, trim(CASE WHEN t LIKE '%[GROUND_TRUTH]%' THEN regexp_extract(t, '(?is)\\[GROUND_TRUTH\\](.*?)(?:\\[EXPLANATION\\]|$)', 1) WHEN len(string_split_regex(trim(t, ' '), '\\s+')) <= 10 THEN t ELSE '' END, ' ' || chr(10)) AS truth FROM ({_TAGGED})")
 def answer_sections(spark, sf):
     c = table(spark, sf, "conversations")
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[GROUND_TRUTH]\n"), F.left("text", F.lit(20)), F.lit("\n[EXPLANATION]\n"), F.left("text", F.lit(40)))).when(F.col("turn") % 3 == 1, F.left("text", F.lit(25))).otherwise(F.col("text"))
+    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[GROUND_TRUTH]\n"), "text", F.lit("\n[EXPLANATION]\n"), "role")).otherwise(F.col("text"))
     return c.select("conv_id", "turn", F.trim(T.sections(t)["truth"], F.lit(" \n")).alias("truth"))
 
 

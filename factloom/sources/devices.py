@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .staging import staged
+
 #: One schema for both dialects: absent sections read as null, an empty element as ''. Secrets are not in it, so they are never read.
 SCHEMA = """
     name string, address string, port int, ssh struct<`host-key`: string>, `device-type`: struct<cli: struct<`ned-id`: string>>,
@@ -33,10 +35,15 @@ SCHEMA = """
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, file, device): a row for each device element, ord by file name. Files that aren't XML give no rows."""
+    """(ord, file, device): a row for each device element, ord by file name. Files that aren't XML give no rows.
+
+    Names alone are put in order, a row for each file; configurations stay where they are read.
+    """
     rows = spark.read.format("xml").options(rowTag="device", ignoreNamespace=True, mode="PERMISSIVE", pathGlobFilter="*.xml").schema(StructType.fromDDL(SCHEMA)).load(path)
     named = rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("d"))
-    return named.where("d.name IS NOT NULL OR d.config IS NOT NULL").withColumn("ord", F.dense_rank().over(Window.orderBy("file")).cast("long"))
+    named = named.where("d.name IS NOT NULL OR d.config IS NOT NULL")
+    order = staged(named.select("file").distinct().orderBy("file").select(F.monotonically_increasing_id().alias("ord"), "file"), "files")
+    return named.join(order, "file").select("file", "d", "ord")
 
 
 def _list(c: Column, like: str) -> Column:
