@@ -77,6 +77,12 @@ def strings(a: pa.Array) -> list:
     return a.to_numpy(zero_copy_only=False).tolist()
 
 
+def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of all texts, and the n + 1 offsets of each text's."""
+    n = pc.utf8_length(text).to_numpy()
+    return np.frombuffer("".join(strings(text)).encode("utf-32-le", "surrogatepass"), "<u4"), np.concatenate([[0], np.cumsum(n)])
+
+
 def slices(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of a batch with about so many bytes of text at a time, one row at least."""
     at = 0

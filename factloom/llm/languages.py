@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import quality
-from .common import bounded_batches, slices, staged, strings
+from .common import bounded_batches, code_points, slices, staged, strings
 
+#: Characters fall into 63 classes and one that stands before a text, so a language has at most 64 ** ORDER n-grams.
+ORDER, CLASS_BITS, EDGE = 4, 6, 63
+#: Characters that are counted into a language's n-grams before they are handed on.
+FLUSH = 6_000_000
 #: Documents of known language that the text model learns from at most: those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
 #: Characters whose evidence counts in full: neighbouring n-grams are not independent, so a longer text says no more.
@@ -38,6 +41,67 @@ def addressed(pages: DataFrame) -> DataFrame:
     return own.withColumns({"domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract("host", r"([^.]+)$", 1)})
 
 
+def _class_table() -> np.ndarray:
+    """The class of each code point: a-z 0 to 25, white space 26, digits 27, marks and punctuation 28 to 38, others by remainder."""
+    out = np.full(0x110000, 39, np.int8)
+    out += (np.arange(0x110000) % 24).astype(np.int8)
+    for c in range(0x3000):
+        low = chr(c).lower()
+        if len(low) == 1 and ord(low) != c:
+            out[c] = out[ord(low)]
+    for c in range(128):
+        low = chr(c).lower()
+        out[c] = ord(low) - 97 if "a" <= low <= "z" else 26 if low.isspace() else 27 if low.isdigit() else 28 + c % 11
+    return out
+
+
+_CLASSES = _class_table()
+
+
+def _grams(points: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each character, its class and those of the ORDER - 1 before it in its text, as one number."""
+    classes = _CLASSES[points].astype(np.int32)
+    place = np.arange(len(points)) - np.repeat(cuts[:-1], np.diff(cuts))
+    out = classes.copy()
+    for k in range(1, ORDER):
+        prior = np.full(len(points), EDGE, np.int32)
+        prior[k:] = classes[:-k] if len(points) > k else prior[k:]
+        prior[place < k] = EDGE
+        out |= prior << (CLASS_BITS * k)
+    return out
+
+
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """(lang, gram int, n long) over all rows (lang, text), counted in each task before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
+
+        def flush(lang: str) -> pa.RecordBatch:
+            n = np.bincount(np.concatenate(held.pop(lang)))
+            some = np.flatnonzero(n)
+            size.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "gram", "n"])
+
+        for whole in batches:
+            for batch in slices(whole):
+                langs = np.array(strings(batch["lang"]), object)
+                points, cuts = code_points(batch["text"])
+                grams = _grams(points, cuts)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
+                for lang in sorted(set(langs)):
+                    own = grams[(langs == lang)[row]]
+                    held.setdefault(lang, []).append(own)
+                    size[lang] = size.get(lang, 0) + len(own)
+                    if size[lang] >= FLUSH:
+                        yield flush(lang)
+        for lang in sorted(held):
+            yield flush(lang)
+
+    return docs.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, the sorted n-grams seen, and the log likelihood of each (rows) in each language, a last row for unseen ones."""
     known = docs.where("lang is not null and lang <> '' and text is not null").select("lang", "text", "doc_id")
@@ -45,7 +109,7 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     cut = some.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
     if cut is None:
         return [], np.zeros(0, np.int64), np.zeros((1, 0))
-    counts = quality.count_ngrams(some.where(F.col("h") <= cut).select("lang", "text")).toArrow()
+    counts = count_ngrams(some.where(F.col("h") <= cut).select("lang", "text")).toArrow()
     langs = sorted(set(strings(counts["lang"].combine_chunks())))
     at = np.array([langs.index(x) for x in strings(counts["lang"].combine_chunks())])
     keys, row = np.unique(counts["gram"].to_numpy(), return_inverse=True)
@@ -63,8 +127,8 @@ def with_text_posterior(pages: DataFrame, langs: list[str], keys: np.ndarray, lo
         keys, logs = sent.value
         for whole in batches:
             for batch in slices(whole):
-                points, cuts = quality._code_points(batch["text"])
-                grams = quality._grams(points, cuts)
+                points, cuts = code_points(batch["text"])
+                grams = _grams(points, cuts)
                 at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
                 at = np.where(keys[at] == grams, at, len(keys)) if len(keys) else np.zeros(len(grams), np.int64)
                 n, row = np.diff(cuts), np.repeat(np.arange(batch.num_rows), np.diff(cuts))

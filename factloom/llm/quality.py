@@ -8,142 +8,155 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, slices, staged, strings, words_of
+from .common import bounded_batches, code_points, slices, staged, strings, words_of
 
-#: Characters fall into 63 classes and one that stands before a text, so a language has at most 64 ** ORDER n-grams.
-ORDER, CLASS_BITS = 4, 6
-EDGE = 63
-#: Rules: fewest words, most repeated words in percent, and the half width of a band in quartile ranges.
-LEAST_WORDS, MOST_REPEATED, BAND = 10, 20, 6.0
+#: An n-gram is ORDER code points of 16 bits each in one 64-bit key; EDGE stands before a text. Code points beyond 16 bits share the private-use ones.
+ORDER, BITS, EDGE = 4, 16, 0xFFFF
+#: Rules: fewest words, most repeated words in percent, and how many quartile ranges a band reaches below and above the median.
+LEAST_WORDS, MOST_REPEATED, BELOW, ABOVE = 10, 20, 5.0, 8.0
 #: A text of so many characters varies twice as much (in variance) as a very long one; its band is wider.
 SHORT_CHARS = 400
-#: Characters that are counted into a language's n-grams before they are handed on, and n-grams sent to the tasks at once.
-FLUSH, MODEL_ROWS = 6_000_000, 1 << 24
+#: What the model and the bands learn from: texts that pass the rules, with at most so many marks and capitals in percent of their characters.
+MOST_MARKS, MOST_CAPITALS = 1, 10
+#: Characters that are counted into n-grams before they are handed on, and n-grams sent to the tasks at once.
+FLUSH, MODEL_ROWS = 4_000_000, 1 << 22
 _MARKS = "#*$%&|<>"
+_UPPER = np.array([chr(c).isupper() for c in range(0x3000)] + [False])
 
 
-def _class_table() -> np.ndarray:
-    """The class of each code point: a-z 0 to 25, white space 26, digits 27, marks and punctuation 28 to 38, others by remainder."""
-    out = np.full(0x110000, 39, np.int8)
-    out += (np.arange(0x110000) % 24).astype(np.int8)
-    for c in range(0x3000):
-        low = chr(c).lower()
-        if len(low) == 1 and ord(low) != c:
-            out[c] = out[ord(low)]
-    for c in range(128):
-        low = chr(c).lower()
-        out[c] = ord(low) - 97 if "a" <= low <= "z" else 26 if low.isspace() else 27 if low.isdigit() else 28 + c % 11
-    return out
-
-
-_CLASSES = _class_table()
-
-
-def _code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All code points of all texts, and the n + 1 offsets of each text's."""
-    n = pc.utf8_length(text).to_numpy()
-    return np.frombuffer("".join(strings(text)).encode("utf-32-le", "surrogatepass"), "<u4"), np.concatenate([[0], np.cumsum(n)])
-
-
-def _grams(points: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """For each character, its class and those of the ORDER - 1 before it in its text, as one number."""
-    classes = _CLASSES[points].astype(np.int32)
+def grams(points: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each character, it and the ORDER - 1 before it in its text, as one 64-bit key."""
+    own = np.where(points < 1 << BITS, points, 0xE000 + points % 0x1900).astype(np.uint64)
     place = np.arange(len(points)) - np.repeat(cuts[:-1], np.diff(cuts))
-    out = classes.copy()
+    out = own.copy()
     for k in range(1, ORDER):
-        prior = np.full(len(points), EDGE, np.int32)
-        prior[k:] = classes[:-k] if len(points) > k else prior[k:]
+        prior = np.full(len(points), EDGE, np.uint64)
+        prior[k:] = own[:-k] if len(points) > k else prior[k:]
         prior[place < k] = EDGE
-        out |= prior << (CLASS_BITS * k)
-    return out
+        out |= prior << np.uint64(BITS * k)
+    return out.view(np.int64)
+
+
+class Measured:
+    """The counts of each text of a batch, and its code points."""
+
+    def __init__(self, text: pa.Array):
+        words, at = words_of(text, lower=False)
+        self.points, self.cuts = code_points(text)
+        spaces = (self.points == 32) | ((self.points >= 9) & (self.points <= 13))
+        marks = np.isin(self.points, [ord(c) for c in _MARKS])
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[self.cuts])
+        self.n_words, self.n_chars = np.diff(at), np.diff(self.cuts)
+        self.word_chars, self.n_symbols = self.n_chars - total(spaces), total(marks)
+        self.n_repeat_words = _repeated(words, at)
+        passed = (self.n_words >= LEAST_WORDS) & (100 * self.n_repeat_words <= MOST_REPEATED * self.n_words)
+        capitals = total(_UPPER[np.minimum(self.points, len(_UPPER) - 1)])
+        self.plain = passed & (100 * self.n_symbols <= MOST_MARKS * self.n_chars) & (100 * capitals <= MOST_CAPITALS * self.n_chars)
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, gram int, n long) over all rows (lang, text), counted in each task before they are shuffled."""
+    """(lang, gram long, n long, own long) over all rows (lang, text): how often in all texts and in those to learn from, counted in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
+        held: dict[tuple[str, bool], list[np.ndarray]] = {}
+        size = 0
 
-        def flush(lang: str) -> pa.RecordBatch:
-            n = np.bincount(np.concatenate(held.pop(lang)))
-            some = np.flatnonzero(n)
-            size.pop(lang)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "gram", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, plain in sorted(held):
+                keys, n = np.unique(np.concatenate(held[lang, plain]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n), pa.array(n * plain)], ["lang", "gram", "n", "own"])
+            held.clear()
 
         for whole in batches:
             for batch in slices(whole):
                 langs = np.array(strings(batch["lang"]), object)
-                points, cuts = _code_points(batch["text"])
-                grams = _grams(points, cuts)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
+                m = Measured(batch["text"])
+                keys, row = grams(m.points, m.cuts), np.repeat(np.arange(batch.num_rows), m.n_chars)
                 for lang in sorted(set(langs)):
-                    own = grams[(langs == lang)[row]]
-                    held.setdefault(lang, []).append(own)
-                    size[lang] = size.get(lang, 0) + len(own)
-                    if size[lang] >= FLUSH:
-                        yield flush(lang)
-        for lang in sorted(held):
-            yield flush(lang)
+                    for plain in (False, True):
+                        some = keys[((langs == lang) & (m.plain == plain))[row]]
+                        if len(some):
+                            held.setdefault((lang, plain), []).append(some)
+                size += len(keys)
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return docs.mapInArrow(run, "lang string, gram long, n long, own long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+
+
+def discounts(n: dict[int, int]) -> list[float]:
+    """What is taken off a count of 1, 2, 3 and more, by how many n-grams have counts of 1 to 4."""
+    c = [n.get(k, 0) for k in range(1, 5)]
+    if not all(c[:3]):
+        return [0.5, 0.75, 1.0]
+    y = c[0] / (c[0] + 2 * c[1])
+    raw = (1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2])
+    return [min(max(x, 0.01), top) for x, top in zip(raw, (1.0, 1.99, 2.99))]
 
-    return docs.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
+def _last(key: Column, k: int) -> Column:
+    """The last k characters of a key."""
+    return key if k == ORDER else key.bitwiseAND(F.lit((1 << BITS * k) - 1))
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """By count 0, 1, 2, 3 and more: what is taken off."""
-    c = [float((n == k).sum()) for k in range(1, 5)]
-    if not all(c[:3]):
-        return np.array([0.0, 0.5, 0.75, 1.0])
-    y = c[0] / (c[0] + 2 * c[1])
-    return np.clip(np.array([0.0, 1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2]]), 0.01, [1, 0.99, 1.99, 2.99])
-
-
-class KneserNey:
-    """Log probabilities of a language's n-grams, interpolated, in arrays sorted by n-gram; unseen ones back off."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        level, n = grams[order].astype(np.int64), counts[order]
-        levels = [(level, n)]
-        for k in range(ORDER - 1, 0, -1):  # of shorter ones, in how many contexts each is seen
-            level, n = np.unique(levels[-1][0] & ((1 << CLASS_BITS * k) - 1), return_counts=True)
-            levels.append((level, n))
-        self.keys: list[np.ndarray] = []
-        self.logp: list[np.ndarray] = []
-        self.backoff: list[tuple[np.ndarray, np.ndarray]] = []
-        lower = np.full(1, -np.log(1 << CLASS_BITS))
-        for k, (level, n) in enumerate(reversed(levels), 1):
-            off = _discounts(n)[np.minimum(n, 3)]
-            context, at = np.unique(level >> CLASS_BITS, return_inverse=True)
-            total, taken = np.bincount(at, n), np.bincount(at, off)
-            rest = np.log(taken / total)
-            below = lower[0] if k == 1 else self._of(k - 1, level & ((1 << CLASS_BITS * (k - 1)) - 1))
-            self.keys.append(level)
-            self.logp.append(np.log(np.maximum(n - off, 0) / total[at] + np.exp(rest[at] + below)))
-            self.backoff.append((context, rest))
-
-    def _of(self, k: int, grams: np.ndarray) -> np.ndarray:
-        """Log probability of the last class of each gram after the k - 1 before it."""
-        if k == 0:
-            return np.full(len(grams), -np.log(1 << CLASS_BITS))
-        keys = self.keys[k - 1]
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        out = self.logp[k - 1][at]
-        miss = np.flatnonzero(keys[at] != grams)
-        if len(miss):
-            context, rest = self.backoff[k - 1]
-            c = grams[miss] >> CLASS_BITS
-            there = np.minimum(np.searchsorted(context, c), len(context) - 1)
-            weight = np.where(context[there] == c, rest[there], 0.0)
-            out[miss] = weight + self._of(k - 1, grams[miss] & ((1 << CLASS_BITS * (k - 1)) - 1))
-        return out
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        return self._of(ORDER, grams)
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, logp) for each row of counts (lang, gram, n, own): interpolated modified Kneser-Ney, learned from own.
+
+    Of n-grams shorter than ORDER it counts in how many contexts each is seen. N-grams that were not learned back off to
+    the shorter ones, at last to one in 2 ** 16. All levels are joins and sums of rows, one for each n-gram or context;
+    what is collected is a few counts of counts for each language and level.
+    """
+    spark = counts.sparkSession
+    levels = {ORDER: counts.where("own > 0").select("lang", F.col("gram").alias("key"), F.col("own").alias("c"))}
+    needed = {ORDER: counts.select("lang", F.col("gram").alias("key"))}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = staged(levels[k + 1].select("lang", _last(F.col("key"), k).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("c")), f"level{k}")
+        needed[k] = staged(needed[k + 1].select("lang", _last(F.col("key"), k).alias("key")).distinct(), f"needed{k}")
+    few: dict[tuple[str, int], dict[int, int]] = {}
+    of_few = [levels[k].groupBy("lang", F.lit(k).alias("k"), F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("n")) for k in levels]
+    for r in of_few[0].union(of_few[1]).union(of_few[2]).union(of_few[3]).collect():
+        few.setdefault((r.lang, r.k), {})[r.c] = r.n
+    off = spark.createDataFrame([(lang, k, *discounts(n)) for (lang, k), n in few.items()], "lang string, k int, d1 double, d2 double, d3 double")
+    below = None
+    for k in range(1, ORDER + 1):
+        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        level = levels[k].join(F.broadcast(off.where(F.col("k") == k).drop("k")), "lang").select("lang", "key", "c", taken.alias("off"))
+        context = F.shiftrightunsigned(F.col("key"), BITS)
+        sums = level.groupBy("lang", context.alias("context")).agg(F.sum("c").alias("total"), F.sum("off").alias("rest"))
+        out = needed[k].withColumn("context", context).join(level, ["lang", "key"], "left").join(sums, ["lang", "context"], "left")
+        if below is None:
+            out = out.withColumn("below", F.lit(2.0**-BITS))
+        else:
+            out = out.withColumn("last", _last(F.col("key"), k - 1)).join(below, ["lang", "last"])
+        p = F.coalesce((F.coalesce(F.col("c") - F.col("off"), F.lit(0.0)) + F.col("rest") * F.col("below")) / F.col("total"), F.col("below"))
+        below = staged(out.select("lang", F.col("key").alias("last"), p.alias("below")), f"p{k}")
+    return below.select("lang", F.col("last").alias("gram"), F.log("below").alias("logp"))
+
+
+class SortedArrays:
+    """A part of the model: for each language its n-grams' keys, sorted, and their log probabilities."""
+
+    def __init__(self, table: pa.Table):
+        self.of = {}
+        for lang in pc.unique(table["lang"]).to_pylist():
+            rows = table.filter(pc.equal(table["lang"], lang))
+            keys, logp = rows["gram"].to_numpy(), rows["logp"].to_numpy().astype(np.float32)
+            order = np.argsort(keys)
+            self.of[lang] = keys[order], logp[order]
+
+    def score(self, lang: str, keys: np.ndarray) -> np.ndarray:
+        """Log probabilities; 0 for keys of other parts."""
+        if lang not in self.of:
+            return np.zeros(len(keys))
+        known, logp = self.of[lang]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, logp[at], 0).astype(np.float64)
 
 
 def _repeated(words: pa.Array, at: np.ndarray, k: int = 5) -> np.ndarray:
@@ -178,77 +191,63 @@ def _repeated_lines(text: pa.Array) -> np.ndarray:
     return np.bincount(doc, minlength=len(text)) - np.bincount(distinct, minlength=len(text))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
+_COLUMNS = "row_no long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", plain boolean, logp double"
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, log_perplexity) for every row of docs.
+    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, plain, log_perplexity) for every row of docs.
 
-    A character model of each language (a null one is a language of its own) is counted over all rows and scores them;
-    perplexity is the mean over all characters, null for a text without any. Null texts are empty; repeated rows count
-    and stay; an empty table gives no rows. A language has at most 64 ** 4 n-grams by construction; languages whose
-    models don't fit together into MODEL_ROWS are scored in several passes.
+    A character model of each language (a null one is a language of its own) is counted over all rows, learned from
+    the plain ones and scores all; log perplexity is the mean over all characters, null for a text without any. Null
+    texts are empty; repeated rows count and stay; an empty table gives no rows. The model grows with the corpus; it is
+    sent in parts of at most MODEL_ROWS n-grams by a hash of their keys, and each part scores all documents in a pass of
+    its own: docs must give the same rows each time.
     """
     bounded_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = staged(count_ngrams(own.select("lang", "text")), "ngrams")
-    sizes = sorted((r.lang, r["count"]) for r in counts.groupBy("lang").count().collect())
-    groups, room = [[]], MODEL_ROWS
-    for lang, n in sizes:
-        if groups[-1] and n > room:
-            groups.append([])
-            room = MODEL_ROWS
-        groups[-1].append(lang)
-        room -= n
-    parts = [_scored(own if len(groups) == 1 else own.where(F.col("lang").isin(g)), counts.where(F.col("lang").isin(g))) for g in groups]
-    if len(groups) > 1:
-        parts.append(_scored(own.where(~F.col("lang").isin([x for g in groups for x in g])), counts.limit(0)))
+    own = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    model = kneser_ney(staged(count_ngrams(own.select("lang", "text")), "ngrams"))
+    passes = max(1, -(-model.count() // MODEL_ROWS))
+    parts = [_scored(own, model.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(passes)) == p)) for p in range(passes)]
     out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_perplexity double"
+    if passes > 1:
+        for p in parts[1:]:
+            out = out.union(p)
+        rest = [c for c in out.columns if c not in ("row_no", "logp")]
+        out = out.groupBy("row_no").agg(*[F.first(c).alias(c) for c in rest], F.sum("logp").alias("logp"))
+    return out.withColumn("log_perplexity", F.when(F.col("n_chars") > 0, -F.col("logp") / F.col("n_chars"))).drop("row_no", "logp")
 
 
-def _scored(own: DataFrame, counts: DataFrame) -> DataFrame:
-    table = counts.toArrow()
-    models = {}
-    for lang in pc.unique(table["lang"]).to_pylist():
-        rows = table.filter(pc.equal(table["lang"], lang))
-        models[lang] = KneserNey(rows["gram"].to_numpy(), rows["n"].to_numpy())
-    sent = own.sparkSession.sparkContext.broadcast(models)
-    names = [x.split()[0] for x in MEASURES.split(", ")]
+def _scored(own: DataFrame, part: DataFrame) -> DataFrame:
+    sent = own.sparkSession.sparkContext.broadcast(SortedArrays(part.toArrow()))
+    names = [x.split()[0] for x in _COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for whole in batches:
             for batch in slices(whole):
-                text = batch["text"]
-                words, at = words_of(text, lower=False)
-                points, cuts = _code_points(text)
-                spaces = (points == 32) | ((points >= 9) & (points <= 13))
-                marks = np.isin(points, [ord(c) for c in _MARKS])
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[cuts])  # noqa: E731, B023
-                grams, langs = _grams(points, cuts), np.array(strings(batch["lang"]), object)
-                row, logp = np.repeat(np.arange(batch.num_rows), np.diff(cuts)), np.zeros(len(points))
+                m, langs = Measured(batch["text"]), np.array(strings(batch["lang"]), object)
+                m.n_dup_lines = _repeated_lines(batch["text"])
+                keys, row = grams(m.points, m.cuts), np.repeat(np.arange(batch.num_rows), m.n_chars)
+                logp = np.zeros(len(keys))
                 for lang in set(langs):
                     mine = (langs == lang)[row]
-                    if lang in sent.value:
-                        logp[mine] = sent.value[lang].score(grams[mine])
-                n = np.diff(cuts)
-                mean = -np.bincount(row, logp, minlength=batch.num_rows) / np.maximum(n, 1)
-                columns = [np.diff(at), n - total(spaces), total(marks), _repeated_lines(text), _repeated(words, at), n]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *[pa.array(c.astype(np.int64)) for c in columns], pa.array(mean, mask=n == 0)], names)
+                    logp[mine] = model.score(lang, keys[mine])
+                sums = np.bincount(row, logp, minlength=batch.num_rows)
+                counts = [pa.array(getattr(m, c).astype(np.int64)) for c in COUNTS]
+                yield pa.RecordBatch.from_arrays([batch["row_no"], batch["doc_id"], batch["lang"], *counts, pa.array(m.plain), pa.array(sums)], names)
 
-    return own.mapInArrow(run, MEASURES)
+    return own.mapInArrow(run, _COLUMNS)
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """(lang, middle, reach): the median of a language's rounded log perplexities, and BAND quartile ranges."""
-    rounded = measured.where(f"log_perplexity is not null and n_words >= {LEAST_WORDS}").groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    """(lang, middle, reach): the median of a language's rounded log perplexities over plain texts, and their quartile range."""
+    rounded = measured.where("log_perplexity is not null and plain").groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("long").alias("x")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     share = rounded.withColumn("share", upto / F.sum("n").over(Window.partitionBy("lang")))
     at = lambda q: F.min(F.when(F.col("share") >= q, F.col("x"))) / 1000
     quartiles = share.groupBy("lang").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("b"))
-    reach = F.lit(BAND) * F.greatest(F.col("b") - F.col("a"), F.lit(0.01))
+    reach = F.greatest(F.col("b") - F.col("a"), F.lit(0.01))
     return quartiles.select("lang", F.col("m").alias("middle"), reach.alias("reach"))
 
 
@@ -262,5 +261,5 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     reach = F.col("reach") * F.sqrt(1 + SHORT_CHARS / F.greatest(F.col("n_chars"), F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    limited = measured.join(staged(bands(measured), "bands"), "lang", "left").withColumns({"low": F.col("middle") - reach, "high": F.col("middle") + reach})
+    limited = measured.join(staged(bands(measured), "bands"), "lang", "left").withColumns({"low": F.col("middle") - BELOW * reach, "high": F.col("middle") + ABOVE * reach})
     return limited.drop("middle", "reach").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
