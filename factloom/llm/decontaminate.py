@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from .common import strings, texts, words_of
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Hamming radius of the candidate search: windows of similarity 0.8 differ in 10 of 64 bits on average, by 3 more or less.
-RADIUS, BLOCKS = 23, 8
+#: Bits of a fingerprint, radius of the candidate search, and blocks: of two fingerprints within the radius, some block
+#: differs in a BLOCKS-th of it at most. Windows of similarity 0.8 differ in 39 bits on average, by 6 more or less, so
+#: about one in 100,000 of those lies beyond the radius; of random windows 0.8 % have a block within 7 of 32 bits.
+BITS, RADIUS, BLOCKS = 256, 63, 8
 #: Items that are sent to the tasks at once; a larger benchmark is searched in several passes over the documents.
 ITEMS_PER_PASS = 20_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.int64)
+#: Windows whose fingerprints are made together.
+_WINDOWS = 4096
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -45,13 +48,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
-    return np.unpackbits(_mixed(shingles).view(np.uint8).reshape(-1, 8), axis=1)
+    """BITS bits of each shingle's hash, from as many further hashes as they need."""
+    words = np.stack([_mixed(shingles + step) for step in np.arange(BITS // 64, dtype=np.uint64) * _P], axis=1)
+    return np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
 
 
-def window_bytes(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints, as 8 bytes each, of the windows of n shingles from starts; each occurrence weighs one."""
-    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_bits(shingles), axis=0, dtype=np.int64)])
-    return np.packbits(2 * (sums[starts + n] - sums[starts]) > n, axis=1)
+def window_prints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints, as BLOCKS numbers each, of the windows of n shingles from starts; each occurrence weighs one."""
+    sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(shingles), axis=0, dtype=np.int32)])
+    return np.packbits(2 * (sums[starts + n] - sums[starts]) > n, axis=1).view(np.uint32)
 
 
 class Items:
@@ -63,24 +68,21 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.sizes = np.diff(at)
         self.shingles = [_shingles(hashes[s:e], min(SHINGLE_WORDS, max(e - s, 1))) for s, e in zip(at[:-1], at[1:])]
-        self.prints = np.array([window_bytes(s, np.array([0]), len(s))[0] if len(s) else np.zeros(8, np.uint8) for s in self.shingles], np.uint8).reshape(-1, 8)
+        self.prints = np.array([window_prints(s, np.array([0]), len(s))[0] if len(s) else np.zeros(BLOCKS, np.uint32) for s in self.shingles], np.uint32).reshape(-1, BLOCKS)
         self.of: dict[int, set[int]] = defaultdict(set)
         for i, s in enumerate(self.shingles):
             for x in s.tolist():
                 self.of[x].add(i)
         self.all = np.array(sorted(self.of), np.uint64)
         self.short = sorted({int(n) for n in self.sizes if 0 < n < SHINGLE_WORDS})
-        #: near[b, v]: the items whose block b is within RADIUS // BLOCKS bits of v; one block of any two fingerprints within RADIUS is
-        values = np.arange(256, dtype=np.uint8)
-        self.near = np.stack([_ONES[values[:, None] ^ self.prints[None, :, b]] <= RADIUS // BLOCKS for b in range(BLOCKS)]) if rows else None
 
     def candidates(self, window: np.ndarray, items: np.ndarray) -> np.ndarray:
         """(window number, position in items) of all pairs whose fingerprints are within RADIUS."""
-        met = np.zeros((len(window), len(items)), bool)
+        prints, met = self.prints[items], np.zeros((len(window), len(items)), bool)
         for b in range(BLOCKS):
-            met |= self.near[b][window[:, b]][:, items]
+            met |= np.bitwise_count(window[:, b, None] ^ prints[None, :, b]) <= RADIUS // BLOCKS
         w, i = np.nonzero(met)
-        far = _ONES[window[w] ^ self.prints[items[i]]].sum(axis=1)
+        far = np.bitwise_count(window[w] ^ prints[i]).sum(axis=1, dtype=np.int64)
         return np.stack([w[far <= RADIUS], i[far <= RADIUS]])
 
 
@@ -114,15 +116,16 @@ def search(hashes: np.ndarray, items: Items, found: dict[int, np.ndarray]) -> It
         starts = near[(near >= low) & (near <= high)]
         if not len(starts):
             continue
-        first = int(starts[0])
-        shingles = _shingles(hashes[first : int(starts[-1]) + size], k)
-        group = np.array(sorted(group))
-        best: dict[int, tuple[float, int]] = {}
-        for w, i in items.candidates(window_bytes(shingles, starts - first, n), group).T.tolist():
-            s = int(starts[w])
-            value = similarity(shingles[s - first : s - first + n], items.shingles[group[i]])
-            if value >= SIMILARITY and value > best.get(i, (0.0, 0))[0]:
-                best[i] = (value, s)
+        group, best = np.array(sorted(group)), {}
+        ends = np.flatnonzero((np.diff(starts) > n) | (np.arange(1, len(starts)) % _WINDOWS == 0)) + 1
+        for part in np.split(starts, ends):
+            first = int(part[0])
+            shingles = _shingles(hashes[first : int(part[-1]) + size], k)
+            for w, i in items.candidates(window_prints(shingles, part - first, n), group).T.tolist():
+                s = int(part[w])
+                value = similarity(shingles[s - first : s - first + n], items.shingles[group[i]])
+                if value >= SIMILARITY and value > best.get(i, (0.0, 0))[0]:
+                    best[i] = (value, s)
         for i, (value, s) in sorted(best.items()):
             yield items.ids[group[i]], s, value
 
@@ -131,8 +134,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, similarity): each document and item of which some window is similar, its first best window.
 
     A window has as many words as the item (a shorter document is one window); words are split at ASCII white space, A-Z
-    in lower case; similarity, 0.8 or more, is of shingles of five words, each as often as it occurs. Windows that share
-    too few shingles with an item to reach it are left out first, which loses none. Items without words match nothing,
+    in lower case; similarity, 0.8 or more, is of shingles of five words, each as often as it occurs. Windows around
+    places that share too few shingles with an item to reach it get no fingerprint, which loses none. Items without words match nothing,
     items of fewer than five words match as a whole; null texts are empty; repeated rows and items are found alike; rows
     without doc_id are found with a null doc_id. An empty table on either side gives no rows.
     """
