@@ -19,10 +19,11 @@ PATTERNS = {
 }
 #: A text without any of these holds no match.
 GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: A word with a digit or an at sign: what contexts may discover.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Rounds of scoring; seeds that a pattern needs; trust in a pattern and in an instance that is new; patterns it needs.
-ROUNDS, LEAST_SEEDS, LEAST_TRUST, LEAST_PATTERNS = 3, 4, 0.85, 2
+#: Groups of digits between blanks, or else a word with a digit or an at sign: what contexts may discover.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:\(?[0-9]++[0-9().-]*+(?:\x20\(?[0-9]++[0-9().-]*+)++|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: Rounds of induction and scoring; seeds that a pattern needs; trust in a pattern and in an instance that is new;
+#: trusted patterns that it needs, or the trust of one that is enough alone.
+ROUNDS, LEAST_SEEDS, LEAST_TRUST, LEAST_PATTERNS, ALONE = 3, 4, 0.85, 2, 0.9
 #: Seeds that count against a pattern before it has met any other instance.
 DOUBT = 0.5
 
@@ -97,41 +98,58 @@ def _plausible(value: Column) -> Column:
         F.array(
             F.when(value.contains("@") & F.rlike(value, F.lit(r"[a-z0-9]@[a-z0-9]")), "email"),
             F.when(F.rlike(value, F.lit(r"^[^\w]*([0-9a-f]{0,4}:){3,7}[0-9a-f]{0,4}[^\w]*$")) | F.rlike(value, F.lit(r"^[^\w]*[0-9]{1,3}(\.[0-9]{1,3}){3}[^\w]*$")), "ip"),
-            F.when((n >= 12) & F.rlike(value, F.lit(r"^[^\w]*[0-9*x-]+[^\w]*$")), "card"),
-            F.when(n.between(7, 15) & F.rlike(value, F.lit(r"^[^\w]*[0-9().-]+[^\w]*$")) & F.rlike(value, F.lit(r"[0-9][().-]+[0-9]")), "phone"),
+            F.when((n >= 12) & F.rlike(value, F.lit(r"^[^\w]*[0-9*x\x20-]+[^\w]*$")), "card"),
+            F.when(n.between(7, 15) & F.rlike(value, F.lit(r"^[^\w]*[0-9().\x20-]+[^\w]*$")) & F.rlike(value, F.lit(r"[0-9][().\x20-]+[0-9]")), "phone"),
         )
     )
 
 
 def _patterns(o: Column) -> Column:
-    """The lexical patterns that a place offers: the two words before, and the words on both sides."""
-    two = F.when(o["two"] != "", F.concat(F.lit("< "), o["two"]))
+    """The lexical patterns that a place offers: the two words before, the one before, and the words on both sides."""
+    two = F.when(F.contains(o["two"], F.lit(" ")), F.concat(F.lit("< "), o["two"]))
+    one = F.when(o["one"] != "", F.concat(F.lit("- "), o["one"]))
     sides = F.when((o["one"] != "") & (o["next"] != ""), F.concat(F.lit("= "), o["one"], F.lit(" _ "), o["next"]))
-    return F.array_compact(F.array(two, sides))
+    return F.array_compact(F.array(two, one, sides))
 
 
 def discover(found: DataFrame) -> DataFrame:
-    """(value, kind) of new instances that trusted patterns agree on.
+    """(value, kind) of new instances that trusted patterns lead to, bootstrapped from the base matches.
 
-    Places give a graph of patterns and instances, each pair once. An instance of a base match has trust 1 for its
-    kind; in each round a pattern's trust in a kind is the share of its instances' trust (with DOUBT against it), and
-    a new instance's trust in a kind that its form allows is the mean of its patterns'. All steps are joins and sums of
+    Places give a graph of patterns and instances, each pair once. In each round the seeds, base matches and what was
+    accepted before, induce the patterns that LEAST_SEEDS of them of one kind share. A pattern's trust in a kind is the
+    share of its instances that are seeds of it (with DOUBT against it); a new instance's score in a kind that its form
+    allows is the mean of its patterns' trust; patterns then gain what their instances scored, and instances that
+    enough trusted patterns lead to are accepted: they are seeds of the next round. All steps are joins and sums of
     rows; a pattern or an instance met everywhere is one row for each other end.
     """
-    rows = found.select(F.explode(F.concat(F.transform("base", lambda o: F.struct(o["kind"].alias("seed"), o["value"].alias("value"), _patterns(o).alias("ps"))), F.transform("other", lambda o: F.struct(F.lit(None).cast("string").alias("seed"), o["value"].alias("value"), _patterns(o).alias("ps"))))).alias("o"))
+    place = lambda o, seed: F.struct(seed.alias("seed"), o["value"].alias("value"), _patterns(o).alias("ps"))
+    places = F.concat(F.transform("base", lambda o: place(o, o["kind"])), F.transform("other", lambda o: place(o, F.lit(None).cast("string"))))
+    rows = found.select(F.explode(places).alias("o"))
     edges = staged(rows.select("o.seed", "o.value", F.explode("o.ps").alias("pattern")).distinct(), "graph")
-    seeded = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    patterns = staged(seeded.join(sizes, "pattern"), "patterns")
-    new = staged(edges.where("seed is null").select("value", "pattern", F.explode(_plausible(F.col("value"))).alias("kind")).join(patterns, ["pattern", "kind"]), "new")
-    trust = patterns.select("pattern", "kind", (F.col("seeds") / (F.col("size") + DOUBT)).alias("trust"))
-    scored = new.limit(0).select("value", "kind", F.lit(0.0).alias("score"), F.lit(0).alias("n"))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.count("seed").alias("seeds"))
+    # what never can be trusted, even if all that could be new were seeds, needs no row
+    open_ = edges.where("seed is null").select("value", "pattern", F.explode(_plausible(F.col("value"))).alias("kind"))
+    apt = open_.groupBy("pattern", "kind").agg(F.count("*").alias("apt")).select("pattern", "kind", "apt")
+    sure = edges.where("seed is not null").select("pattern", F.col("seed").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("sure"))
+    able = apt.join(sure, ["pattern", "kind"], "left").join(sizes, "pattern").select("pattern", "kind", F.coalesce("sure", F.lit(0)).alias("sure"), "size", "apt")
+    able = staged(able.where((F.col("sure") + F.col("apt") >= LEAST_SEEDS) & (F.col("sure") + F.col("apt") >= LEAST_TRUST * (F.col("size") + DOUBT))), "patterns")
+    new = staged(open_.join(able, ["pattern", "kind"]).select("value", "pattern", "kind", "sure", "size"), "new")
+    accepted = new.limit(0).select("value", "kind")
     for _ in range(ROUNDS):
-        scored = staged(new.join(trust, ["pattern", "kind"]).groupBy("value", "kind").agg(F.avg("trust").alias("score"), F.count_if(F.col("trust") >= LEAST_TRUST).alias("n")), "scored")
-        gained = new.join(scored, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-        trust = staged(patterns.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("size") + DOUBT)).alias("trust")), "trust")
-    best = scored.where((F.col("score") >= LEAST_TRUST) & (F.col("n") >= LEAST_PATTERNS)).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    return best
+        taken = new.join(accepted.withColumn("seed", F.lit(1)), ["value", "kind"], "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
+        taken = staged(taken, "taken")
+        seeds = taken.groupBy("pattern", "kind").agg((F.first("sure") + F.sum("seed")).alias("seeds"), F.first("size").alias("size")).where(F.col("seeds") >= LEAST_SEEDS)
+        seeds = staged(seeds, "induced")
+        trust = seeds.select("pattern", "kind", (F.col("seeds") / (F.col("size") + DOUBT)).alias("trust"))
+        fresh = taken.where("seed = 0").select("value", "pattern", "kind")
+        scored = fresh.join(trust, ["pattern", "kind"]).groupBy("value", "kind").agg(F.avg("trust").alias("score"))
+        gained = fresh.join(scored, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
+        trust = staged(seeds.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("size") + DOUBT)).alias("trust")), "trust")
+        scored = new.join(trust, ["pattern", "kind"]).groupBy("value", "kind").agg(F.avg("trust").alias("score"), F.count_if(F.col("trust") >= LEAST_TRUST).alias("n"), F.max("trust").alias("best"))
+        enough = (F.col("score") >= LEAST_TRUST) & ((F.col("n") >= LEAST_PATTERNS) | (F.col("best") >= ALONE))
+        best = scored.where(enough).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        accepted = staged(best.union(accepted.join(best, "value", "left_anti").select("value", "kind")), "accepted")
+    return accepted
 
 
 def scan(docs: DataFrame) -> DataFrame:

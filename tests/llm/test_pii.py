@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from factloom.llm import pii, queries
 
@@ -66,29 +67,53 @@ def test_contexts_discover_new_forms(spark):
     assert new == {40: f"ctx_phone:{at}:{at + 12}"}
 
 
-def test_scores_match_a_plain_loop(spark):
-    found = pii.occurrences(spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")).collect()
+def plain_loop(found):
+    """The phones that discover() accepts."""
 
     def patterns(o):
-        return ["< " + o.two] * (o.two != "") + [f"= {o.one} _ {o.next}"] * (o.one != "" and o.next != "")
+        return ["< " + o.two] * (" " in o.two) + ["- " + o.one] * (o.one != "") + [f"= {o.one} _ {o.next}"] * (o.one != "" and o.next != "")
 
     edges = {(o.kind if o.kind != "other" else None, o.value, p) for r in found for o in [*r.base, *r.other] for p in patterns(o)}
-    size = {p: sum(e[2] == p for e in edges) for _, _, p in edges}
-    seeds = {}
-    for kind, _, p in edges:
-        if kind:
-            seeds[p, kind] = seeds.get((p, kind), 0) + 1
-    seeds = {k: n for k, n in seeds.items() if n >= pii.LEAST_SEEDS}
-    fits = {"phone": lambda v: bool(re.fullmatch(r"[0-9().-]+", v) and re.search(r"[0-9][().-]+[0-9]", v) and 7 <= len(re.sub(r"\D", "", v)) <= 15)}
-    new = {(v, p, k) for s, v, p in edges for k in fits if not s and (p, k) in seeds and fits[k](v)}
-    trust = {k: n / (size[k[0]] + pii.DOUBT) for k, n in seeds.items()}
+    fits = lambda v: bool(re.fullmatch(r"\W*[0-9(). -]+\W*", v) and re.search(r"[0-9][(). -]+[0-9]", v) and 7 <= len(re.sub(r"\D", "", v)) <= 15)
+    size, sure = Counter(p for _, _, p in edges), Counter((p, k) for k, _, p in edges if k)
+    apt = Counter((p, "phone") for k, v, p in edges if not k and fits(v))
+    able = {pk for pk in apt if sure[pk] + apt[pk] >= max(pii.LEAST_SEEDS, pii.LEAST_TRUST * (size[pk[0]] + pii.DOUBT))}
+    new = {(v, p) for k, v, p in edges if not k and fits(v) and (p, "phone") in able}
+    mean = lambda x: sum(x) / len(x)
+    accepted = set()
     for _ in range(pii.ROUNDS):
-        score = {(v, k): [trust[p, k] for w, p, j in new if (w, j) == (v, k)] for v, _, k in new}
-        gained = {pk: sum(sum(score[v, k]) / len(score[v, k]) for v, p, k in new if (p, k) == pk) for pk in seeds}
-        kept = {x for x, t in score.items() if sum(t) / len(t) >= pii.LEAST_TRUST and sum(y >= pii.LEAST_TRUST for y in t) >= pii.LEAST_PATTERNS}
-        trust = {pk: (n + gained[pk]) / (size[pk[0]] + pii.DOUBT) for pk, n in seeds.items()}
-    frame = pii.occurrences(spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string"))
-    assert {tuple(r) for r in pii.discover(frame).collect()} == kept and kept
+        seeds = {p: sure[p, k] + sum(q == p and v in accepted for v, q in new) for p, k in able}
+        trust = {p: n / (size[p] + pii.DOUBT) for p, n in seeds.items() if n >= pii.LEAST_SEEDS}
+        score = {v: mean([trust[q] for w, q in new if w == v and q in trust]) for v, p in new if v not in accepted and p in trust}
+        trust = {p: t + sum(score.get(v, 0) for v, q in new if q == p) / (size[p] + pii.DOUBT) for p, t in trust.items()}
+        of = {v: [trust[q] for w, q in new if w == v and q in trust] for v, p in new if p in trust}
+        accepted |= {v for v, t in of.items() if mean(t) >= pii.LEAST_TRUST and (sum(y >= pii.LEAST_TRUST for y in t) >= pii.LEAST_PATTERNS or max(t) >= pii.ALONE)}
+    return accepted
+
+
+def test_scores_match_a_plain_loop(spark):
+    for texts in (corpus(), second_hand()):
+        frame = pii.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        want = plain_loop(frame.collect())
+        assert want and {tuple(r) for r in pii.discover(frame).collect()} == {(v, "phone") for v in want}
+
+
+def second_hand():
+    """Five numbers in a form that base patterns miss stand where base matches stand, and in a context of their own that holds a sixth."""
+    rng = random.Random(12)
+    filler = lambda: " ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(4))
+    texts = [f"{filler()} reach me on +1 (555) 867-{1000 + i} soon {filler()}" for i in range(60)]
+    texts += [f"{filler()} reach me on (555) 222-{1000 + i} soon {filler()}" for i in range(5)]
+    texts += [f"{filler()} ring desk (555) 222-{1000 + i} now {filler()}" for i in range(5)]
+    return [*texts, f"{filler()} ring desk (555) 333-9999 now {filler()}", f"{filler()} part no 555 333 9998 {filler()}"]
+
+
+def test_accepted_instances_induce_patterns(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(second_hand())), "doc_id long, text string")
+    got = {r.value for r in pii.discover(pii.occurrences(docs)).collect()}
+    assert got == {f"(555) 222-{1000 + i}" for i in range(5)} | {"(555) 333-9999"}
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    assert {r.value for r in pii.discover(pii.occurrences(docs)).collect()} == got - {"(555) 333-9999"}
 
 
 def test_whole_table(spark):
