@@ -13,7 +13,9 @@ from .spans import running_sums
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PREFILTER = rf"(?i)licen[cs]e|(?:{'|'.join(UNDER)}){_GAP}under|spdx|cc{_GAP}by|reserved|public{_GAP}domain|permission|redistribution|commercial|confidential|warranty"
+#: What the sentences hold that hold none of the other words.
+SENTENCE_WORDS = "advertising|software|copyright|consequential|perpetual|remotely|linking|invariant|mpl|package|perl|executable|relinquishment|fuck|publicdomain|mozilla|fonts|parties|reproduced|unauthorized|secrets"
+PREFILTER = rf"(?i)licen[cs]e|(?:{'|'.join(UNDER)}){_GAP}under|spdx|cc{_GAP}by|reserved|public{_GAP}domain|permission|redistribution|commercial|confidential|warranty|{SENTENCE_WORDS}"
 
 _NONE = "array<struct<start:int,back:int,rank:int,label:string,weight:double>>"
 

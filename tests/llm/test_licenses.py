@@ -75,3 +75,13 @@ def test_every_rule_passes_the_prefilter(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
     assert [got[i][5] for i in range(len(notices))] == list(notices.values())
     assert all(got[i][5] for i in range(len(notices), len(texts)))
+
+
+def test_every_sentence_has_its_label(spark):
+    plain = lambda words: re.sub(r"\(([^|)]*)[^)]*\)!", r"\1", re.sub(r"\([^)]*\)(?!!)", "", words))
+    rows = [(i, f"One two. {plain(words).capitalize()}; three.") for i, (_, _, words, _) in enumerate(license_rules.SENTENCES)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, keyword, words, _) in enumerate(license_rules.SENTENCES):
+        assert keyword in plain(words).split() and got[i].score > 0 and got[i].labels, words
+        assert got[i].n_base or tuple(got[i])[1:] == brute(rows[i][1]), words
+    assert sum(label in got[i].labels.split(",") for i, (label, *_) in enumerate(license_rules.SENTENCES)) >= 90
