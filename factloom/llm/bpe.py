@@ -21,7 +21,7 @@ SPLIT = (
     r"|\p{IsWhite_Space}+(?![^\p{IsWhite_Space}])|\p{IsWhite_Space}+"
 )
 #: Bytes of text whose distinct words are encoded together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _byte_chars() -> list[str]:
@@ -148,6 +148,48 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield held
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, vocab: Vocabulary) -> Batches:
+    """doc_id, n_tokens and ids of batches of doc_id and pre-tokens."""
+    for block in _blocks(batches):
+        parts = [pc.list_flatten(b["words"]).cast(pa.large_binary()) for b in block]
+        coded = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries()
+        distinct = coded.chunk(0).dictionary
+        special = {i: vocab.special[w] for i, w in enumerate(strings(distinct)) if w in vocab.special} if pc.any(pc.is_in(distinct, pa.array(list(vocab.special), pa.large_binary()))).as_py() else {}
+        data = np.frombuffer(b"".join(strings(distinct)), np.uint8)
+        ids, counts = encode_words(data, pc.binary_length(distinct).to_numpy(), vocab)
+        starts = np.cumsum(counts) - counts
+        for i, token in special.items():
+            starts[i], counts[i] = len(ids), 1
+            ids = np.append(ids, np.int32(token))
+        for batch, chunk in zip(block, coded.chunks):
+            word = chunk.indices.to_numpy()
+            n_words = pc.list_value_length(batch["words"]).to_numpy()
+            lengths = counts[word]
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            cuts = total[np.concatenate([[0], np.cumsum(n_words)])]
+            out = ids[ragged(starts[word], lengths)].astype("<u4")
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((cuts * 4).astype(np.int64)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(cuts)), binary.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(batches: Batches, token_bytes: list[bytes]) -> Batches:
+    """The batches with the text of their ids."""
+    token = token_bytes.__getitem__
+    for batch in batches:
+        found = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in strings(batch["ids"])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+
+
+ENCODED = "doc_id long, n_tokens long, ids binary"
+
+
+def _words(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    return texts(docs).select("doc_id", pre_tokens(F.col("text"), [k.decode() for k in vocab.special]).alias("words"))
+
+
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens long, ids binary): ids as little-endian unsigned 32-bit integers, a row for each row of docs.
 
@@ -156,42 +198,17 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     vocab = Vocabulary(tokenizer_path)
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
-    words = texts(docs).select("doc_id", pre_tokens(F.col("text"), [k.decode() for k in vocab.special]).alias("words"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value
-        for block in _blocks(batches):
-            parts = [pc.list_flatten(b["words"]).cast(pa.large_binary()) for b in block]
-            coded = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries()
-            distinct = coded.chunk(0).dictionary
-            special = {i: vocab.special[w] for i, w in enumerate(strings(distinct)) if w in vocab.special} if pc.any(pc.is_in(distinct, pa.array(list(vocab.special), pa.large_binary()))).as_py() else {}
-            data = np.frombuffer(b"".join(strings(distinct)), np.uint8)
-            ids, counts = encode_words(data, pc.binary_length(distinct).to_numpy(), vocab)
-            starts = np.cumsum(counts) - counts
-            for i, token in special.items():
-                starts[i], counts[i] = len(ids), 1
-                ids = np.append(ids, np.int32(token))
-            for batch, chunk in zip(block, coded.chunks):
-                word = chunk.indices.to_numpy()
-                n_words = pc.list_value_length(batch["words"]).to_numpy()
-                lengths = counts[word]
-                total = np.concatenate([[0], np.cumsum(lengths)])
-                cuts = total[np.concatenate([[0], np.cumsum(n_words)])]
-                out = ids[ragged(starts[word], lengths)].astype("<u4")
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((cuts * 4).astype(np.int64)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(cuts)), binary.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return words.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _words(docs, vocab).mapInArrow(lambda batches: _encoded(batches, sent.value), ENCODED)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text) for encode()'s rows: special tokens stay, invalid UTF-8 becomes U+FFFD, null ids an empty text."""
     sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path).token_bytes)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: _decoded(batches, sent.value), f"{ENCODED}, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = sent.value.__getitem__
-        for batch in batches:
-            found = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in strings(batch["ids"])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """decode(encode(docs)): both in one Python worker for each task, which needs half the memory of two in a row."""
+    vocab = Vocabulary(tokenizer_path)
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    return _words(docs, vocab).mapInArrow(lambda batches: _decoded(_encoded(batches, sent.value), sent.value.token_bytes), f"{ENCODED}, text string")

@@ -40,7 +40,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.round_trip(read_table(spark, sf_dir, "documents"), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

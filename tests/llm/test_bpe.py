@@ -55,3 +55,9 @@ def test_bytes_that_are_not_text(spark):
     library = Tokenizer.from_file(PATH)
     got = {r.doc_id: r.text for r in bpe.decode(lone, PATH).collect()}
     assert got == {1: library.decode([172], skip_special_tokens=False), 2: ""}
+
+
+def test_round_trip_is_decoded_encoding(spark):
+    docs = spark.createDataFrame([(1, "Hello  wörld <|endoftext|> 日本"), (None, None), (2, ""), (2, "x" * 9000)], "doc_id long, text string")
+    both = bpe.decode(bpe.encode(docs, PATH), PATH)
+    assert sorted(map(repr, bpe.round_trip(docs, PATH).collect())) == sorted(map(repr, both.collect()))
