@@ -155,8 +155,8 @@ def _encoded(batches: Batches, vocab: Vocabulary) -> Batches:
     """doc_id, n_tokens and ids of batches of doc_id and pre-tokens."""
     for block in _blocks(batches):
         parts = [pc.list_flatten(b["words"]).cast(pa.large_binary()) for b in block]
-        coded = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries()
-        distinct = coded.chunk(0).dictionary
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        distinct, index = coded.dictionary, coded.indices.to_numpy()
         special = {i: vocab.special[w] for i, w in enumerate(strings(distinct)) if w in vocab.special} if pc.any(pc.is_in(distinct, pa.array(list(vocab.special), pa.large_binary()))).as_py() else {}
         data = np.frombuffer(b"".join(strings(distinct)), np.uint8)
         ids, counts = encode_words(data, pc.binary_length(distinct).to_numpy(), vocab)
@@ -164,8 +164,9 @@ def _encoded(batches: Batches, vocab: Vocabulary) -> Batches:
         for i, token in special.items():
             starts[i], counts[i] = len(ids), 1
             ids = np.append(ids, np.int32(token))
-        for batch, chunk in zip(block, coded.chunks):
-            word = chunk.indices.to_numpy()
+        at = np.cumsum([0, *map(len, parts)])
+        for batch, low, high in zip(block, at[:-1], at[1:]):
+            word = index[low:high]
             n_words = pc.list_value_length(batch["words"]).to_numpy()
             lengths = counts[word]
             total = np.concatenate([[0], np.cumsum(lengths)])
