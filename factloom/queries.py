@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom import trace_queries  # noqa: F401  (adds its queries)
 from factloom.functions import text as T
 from factloom.operators import graph, metrics, relations, retrieval
 from factloom.plans import facts, metric_sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from factloom.registry import QUERIES, SQL, Query, table
+from factloom.registry import query as _query
 
 
 def _metric_query(build) -> Query:

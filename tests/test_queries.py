@@ -2,13 +2,14 @@
 
 import datetime
 import decimal
+import os
 
 import duckdb
 import pytest
 
 from factloom import queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
