@@ -1,4 +1,4 @@
-"""Answers as text, and the text rules of evaluation: cleaning, sections, citations, exact match and token F1."""
+"""Answers as text, and the text rules of evaluation: cleaning, sections and citations."""
 
 from __future__ import annotations
 
@@ -28,8 +28,12 @@ def map_text(pairs: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"]))), ", ")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalize_boolean(text: Column) -> Column:
-    low = F.lower(F.trim(text))
+    low = F.lower(stripped(text))
     return F.when(low.isin(*YES), "true").when(low.isin(*NO), "false").otherwise(low)
 
 
@@ -61,28 +65,6 @@ def sections(answer: Column) -> Column:
     )
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text in lower case without punctuation."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != "")
-
-
-def exact_match(prediction: Column, truth: Column) -> Column:
-    return (normalize_boolean(flatten_space(prediction)) == normalize_boolean(flatten_space(truth))).cast("int")
-
-
-def relaxed_match(prediction: Column, truth: Column) -> Column:
-    """Equal as sets of comma-separated values."""
-    parts = lambda c: F.array_sort(F.array_distinct(F.transform(F.split(F.lower(c), ","), flatten_space)))
-    return (parts(prediction) == parts(truth)).cast("int")
-
-
-def token_f1(prediction: Column, truth: Column) -> Column:
-    """Of distinct tokens; 1 if both have none, 0 if one has none."""
-    p, t = F.array_distinct(tokens(prediction)), F.array_distinct(tokens(truth))
-    shared = F.size(F.array_intersect(p, t))
-    return F.when((F.size(p) == 0) & (F.size(t) == 0), 1.0).when(shared == 0, 0.0).otherwise(2.0 * shared / (F.size(p) + F.size(t)))
-
-
 def citations(text: Column) -> Column:
     """File names of the last [CITATIONS] line."""
     found = F.regexp_extract_all(text, F.lit(r"(?im)^\[CITATIONS\][:\s]*(.*)$"), 1)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom import trace_queries  # noqa: F401  (adds its queries)
+from factloom.functions import scores
 from factloom.functions import text as T
-from factloom.operators import graph, metrics, relations, retrieval
+from factloom.operators import evaluation, graph, metrics, relations, retrieval
 from factloom.plans import facts, metric_sql
 from factloom.registry import QUERIES, SQL, Query, table
 from factloom.registry import query as _query
@@ -352,24 +353,59 @@ def answer_sections(spark, sf):
     return c.select("conv_id", "turn", F.trim(T.sections(t)["truth"], F.lit(" \n")).alias("truth"))
 
 
-_QA = "WITH p AS (SELECT conv_id, turn, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS truth FROM conversations), t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(regexp_replace(lower(prediction), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(regexp_replace(lower(truth), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS b FROM p WHERE truth IS NOT NULL) "
+def _norm(x: str) -> str:
+    x = f"lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'))"
+    return f"CASE WHEN {x} IN {T.YES} THEN 'true' WHEN {x} IN {T.NO} THEN 'false' ELSE {x} END"
+
+
+def _tokens(x: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex({_norm(x)}, '\\s+'), lambda w: w <> ''))"
+
+
+def _items(x: str) -> str:
+    return f"list_distinct(list_transform(list_filter(string_split({x}, ','), lambda w: regexp_replace(w, '\\s+', '', 'g') <> ''), lambda w: {_norm('w')}))"
+
+
+def _f1(a: str, b: str, empty: int = 1) -> str:
+    return f"CAST(CASE WHEN len({a}) + len({b}) = 0 THEN {empty} ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END AS DOUBLE)"
+
+
+#: An answer is a turn's text, its truth the next turn's; every third is the text itself, with other outer blanks.
+_QA = f"""WITH p AS (SELECT conv_id, turn, role AS origin, text AS prediction, CASE WHEN turn % 3 = 0 THEN '  ' || text || chr(10) ELSE lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS truth FROM conversations),
+t AS (SELECT *, {_tokens('prediction')} AS a, {_tokens('truth')} AS b, {_items('prediction')} AS x, {_items('truth')} AS y FROM p WHERE truth IS NOT NULL),
+s AS (SELECT conv_id, turn, origin, CASE WHEN {_norm('prediction')} = {_norm('truth')} THEN 1 ELSE 0 END AS em, {_f1('a', 'b')} AS f1, CASE WHEN list_sort(x) = list_sort(y) THEN 1 ELSE 0 END AS em_relaxed, {_f1('x', 'y')} AS f1_relaxed FROM t) """
 
 
 def _answers(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prediction"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("truth"))
-    return c.where("truth IS NOT NULL")
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    truth = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), F.col("text"), F.lit("\n"))).otherwise(following)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("origin"), F.col("text").alias("prediction"), truth.alias("truth")).where("truth IS NOT NULL")
+
+
+@_query(_QA + "SELECT conv_id, turn, em, round(f1, 6) AS f1, em_relaxed, round(f1_relaxed, 6) AS f1_relaxed FROM s")
+def answer_scores(spark, sf):
+    return evaluation.scored(_answers(spark, sf)).select("conv_id", "turn", "em", F.round("f1", 6).alias("f1"), "em_relaxed", F.round("f1_relaxed", 6).alias("f1_relaxed"))
+
+
+@_query(_QA + "SELECT coalesce(origin, 'overall') AS origin, count(*) AS n, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1, round(avg(em_relaxed), 6) AS em_relaxed, round(avg(f1_relaxed), 6) AS f1_relaxed FROM s GROUP BY ROLLUP (origin)")
+def evaluation_report(spark, sf):
+    out = evaluation.report(_answers(spark, sf))
+    return out.select("origin", "n", *[F.round(c, 6).alias(c) for c in ("em", "f1", "em_relaxed", "f1_relaxed")])
+
+
+_GRAMS = "list_distinct(list_transform(generate_series(1, len({0}) - {1}), lambda i: array_to_string({0}[i:i + {1}], ' ')))"
 
 
-@_query(_QA + "SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN len(list_intersect(a, b)) = 0 THEN 0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END::DOUBLE, 6) AS f1 FROM t")
-def token_f1(spark, sf):
-    return _answers(spark, sf).select("conv_id", "turn", F.round(T.token_f1(F.col("prediction"), F.col("truth")), 6).alias("f1"))
+@_query(_QA.split("s AS (")[0] + "w AS (SELECT conv_id, turn, list_filter(string_split_regex(prediction, '\\s+'), lambda w: w <> '') AS p, list_filter(string_split_regex(truth, '\\s+'), lambda w: w <> '') AS q FROM t), g AS (SELECT conv_id, turn, list_distinct(p) AS p1, list_distinct(q) AS q1, " + _GRAMS.format("p", 1) + " AS p2, " + _GRAMS.format("q", 1) + " AS q2 FROM w) " + f"SELECT conv_id, turn, round({_f1('p1', 'q1', 0)}, 6) AS rouge_1, round({_f1('p2', 'q2', 0)}, 6) AS rouge_2 FROM g")
+def rouge_scores(spark, sf):
+    p, t = F.col("prediction"), F.col("truth")
+    return _answers(spark, sf).select("conv_id", "turn", F.round(scores.rouge_n(p, t, 1), 6).alias("rouge_1"), F.round(scores.rouge_n(p, t, 2), 6).alias("rouge_2"))
 
 
-@_query("SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN 1 ELSE 0 END AS em, CASE turn % 2 WHEN 0 THEN 1 ELSE 0 END AS relaxed FROM conversations")
-def exact_match(spark, sf):
-    """Against a truth built from the text: the text with other spacing, or with a word more."""
-    c = table(spark, sf, "conversations").withColumn("truth", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("  "), F.col("text"), F.lit("\n"))).otherwise(F.concat("text", F.lit(", extra words"))))
-    return c.select("conv_id", "turn", T.exact_match(F.col("text"), F.col("truth")).alias("em"), T.relaxed_match(F.col("text"), F.col("truth")).alias("relaxed"))
+@_query("")
+def rouge_l_scores(spark, sf):
+    """The longest common subsequence has no SQL form: the tests hold it against a plain table."""
+    return _answers(spark, sf).select("conv_id", "turn", F.round(scores.rouge_l("prediction", "truth"), 6).alias("rouge_l"))
 
 
 @_query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages")
