@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.functions.text import falsy
-from factloom.operators.relations import split_by_position
+from factloom.operators.relations import numbered
 
 #: How an answer of each type is to be written.
 ANSWER_HINTS = {
@@ -98,13 +97,18 @@ def with_hint(question: Column, answer_type: Column) -> Column:
     return F.when(told.isNull() | F.contains(question, told), question).otherwise(F.concat(question, F.lit("\n[Answer format] "), told))
 
 
-def build(asked: DataFrame, files: DataFrame, all_files: list[str] | None = None) -> DataFrame:
+def build(asked: DataFrame, files: DataFrame) -> DataFrame:
     """The dataset of questions(): ids by category, explanation, source files, and the split by place, 8:1:1, within a category.
 
-    Rows with the same category, metric and question are one, the least scope's. Ids count in the order of metric and question.
+    Rows with the same category, metric and question are one, the least scope's. Ids count in the order of metric and
+    question. Null source files stand for all files: their list isn't repeated in every row.
     """
-    once = asked.groupBy("category", "metric", "question").agg(F.min_by(F.struct("level", "scope_type", "scope", "answer_type", "answer"), F.struct("scope_type", "scope")).alias("r")).select("category", "metric", "question", "r.*")
-    rows = once.join(files, ["scope_type", "scope"], "left").withColumn("source_files", F.coalesce("files", F.array(*[F.lit(f) for f in all_files or []]).cast("array<string>")))
-    no = F.row_number().over(Window.partitionBy("category").orderBy("metric", "question"))
-    out = split_by_position(rows.withColumn("id", F.concat(F.upper("category"), F.lit("_"), F.lpad(no.cast("string"), 6, "0"))), "category", ["metric", "question"])
-    return out.withColumns({"explanation": explanation(F.col("metric"), F.col("scope"), F.col("answer")), "ground_truth": F.coalesce("answer", F.lit("")), "question": with_hint(F.col("question"), F.col("answer_type"))})
+    first = F.min_by(F.struct("level", "scope_type", "scope", "answer_type", "answer"), F.struct("scope_type", "scope"))
+    once = asked.groupBy("category", "metric", "question").agg(first.alias("r")).select("category", "metric", "question", "r.*")
+    rows = numbered(once.join(files.withColumnRenamed("files", "source_files"), ["scope_type", "scope"], "left"), "category", ["metric", "question"])
+    n80, n10 = F.floor(F.col("total") * F.lit(0.8)), F.floor(F.col("total") * F.lit(0.1))
+    split = F.when(F.col("place") <= n80, "train").when(F.col("place") <= n80 + n10, "validation").otherwise("test")
+    return rows.withColumns({
+        "id": F.concat(F.upper("category"), F.lit("_"), F.lpad(F.col("place").cast("string"), 6, "0")), "split": split, "explanation": explanation(F.col("metric"), F.col("scope"), F.col("answer")),
+        "ground_truth": F.coalesce("answer", F.lit("")), "question": with_hint(F.col("question"), F.col("answer_type")),
+    }).drop("place", "total", "answer")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.sources.staging import staged
+
 
 def child_count(parents: DataFrame, children: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Parents with their number of children, 0 if none; children are counted before they are joined."""
@@ -59,12 +61,26 @@ def value_conflicts(df: DataFrame, value: str, owner: str) -> DataFrame:
     return df.groupBy(value).agg(F.count_distinct(owner).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set(owner)), lambda x: x.cast("string")), ", ").alias("owners")).where("n > 1")
 
 
-def split_by_position(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """df with place (from 1, in order within a key) and total (rows of the key); nulls come first.
+
+    No key has to fit in a task: rows are split by ranges of key and order and written, places are counted within the
+    piece of a key in one range, and the counts of the pieces, one row each, are summed up to each piece's offset.
+    """
+    ranged = staged(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    pieces = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_range")) - F.col("_n")
+    offsets = pieces.select(F.col(key).alias("_key"), F.col("_range").alias("_piece"), before.alias("_before"), F.sum("_n").over(Window.partitionBy(key)).alias("total"))
+    own = ranged.withColumn("place", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
+    out = own.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_piece")))
+    return out.withColumn("place", F.col("place") + F.col("_before")).drop("_key", "_piece", "_before", "_range")
+
+
+def split_by_position(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """8:1:1 by place within a key: train, validation, test."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(key))
-    first, second = F.floor(n * F.lit(0.8)), F.floor(n * F.lit(0.1))
-    return df.withColumn("split", F.when(place <= first, "train").when(place <= first + second, "validation").otherwise("test"))
+    first, second = F.floor(F.col("total") * F.lit(0.8)), F.floor(F.col("total") * F.lit(0.1))
+    split = F.when(F.col("place") <= first, "train").when(F.col("place") <= first + second, "validation").otherwise("test")
+    return numbered(df, key, order).withColumn("split", split).drop("place", "total")
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[Column | str], size: str, budget: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom import trace_queries  # noqa: F401  (adds its queries)
+from factloom import dataset_queries, trace_queries  # noqa: F401  (they add their queries)
 from factloom.functions import scores
 from factloom.functions import text as T
 from factloom.operators import evaluation, graph, metrics, relations, retrieval
@@ -298,8 +298,8 @@ def dedup_keep_first_template(spark, sf):
 
 @_query("SELECT o_orderpriority || '_' || lpad(CAST(k AS STRING), 6, '0') AS id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders)")
 def seq_id_per_group(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("k"))
-    return o.select(F.concat_ws("_", "o_orderpriority", F.lpad(F.col("k").cast("string"), 6, "0")).alias("id"), "o_orderkey")
+    o = relations.numbered(table(spark, sf, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", ["o_orderkey"])
+    return o.select(F.concat_ws("_", "o_orderpriority", F.lpad(F.col("place").cast("string"), 6, "0")).alias("id"), "o_orderkey")
 
 
 @_query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 3")
