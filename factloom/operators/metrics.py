@@ -129,7 +129,7 @@ def service_sets(t: Tables) -> DataFrame:
 
 @_register("routing_table_entry_count")
 def routing_entries(t: Tables) -> DataFrame:
-    counted = [t[name].groupBy("ord").agg(F.count("*").alias(f"n_{name}")) for name in ("neighbors", "areas", "interfaces")]
+    counted = [t[name].groupBy("ord").agg(F.count(c).alias(f"n_{name}")) for name, c in (("neighbors", "ord"), ("areas", "interface"), ("interfaces", "ord"))]
     wide = t["devices"].select("ord", "host")
     for c in counted:
         wide = wide.join(c, "ord", "left")
@@ -219,7 +219,7 @@ def by_vrf(t: Tables) -> DataFrame:
 
 @_register("ospf_area_membership", "ospf_neighbor_count_per_area", "devices_in_as")
 def by_area_and_as(t: Tables) -> DataFrame:
-    areas = t["areas"].join(t["devices"].select("ord", "host"), "ord").groupBy("area").agg(_set(F.col("host")).alias("x"), F.count("*").alias("n"))
+    areas = t["areas"].where("area IS NOT NULL").join(t["devices"].select("ord", "host"), "ord").groupBy("area").agg(_set(F.col("host")).alias("x"), F.count("interface").alias("n"))
     own = t["devices"].where("local_as IS NOT NULL").groupBy("local_as").agg(_set(F.col("host")).alias("x"))
     return _long(areas, "area", {"ospf_area_membership": F.col("x"), "ospf_neighbor_count_per_area": F.col("n")}).union(_long(own, "local_as", {"devices_in_as": F.col("x")}))
 
