@@ -57,6 +57,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstaged(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            delete_path(table.sparkSession, folder)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

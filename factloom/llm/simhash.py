@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, strings, texts, words_of
+from .common import staged, strings, texts, unstaged, words_of
 from .components import connected_components
 
 #: Parts of a fingerprint; each table of variants leaves one of them out.
@@ -155,8 +155,12 @@ def _chained(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return _mixed(h)
 
 
+#: Parts of the hashes' range that a set's shingles are counted in.
+PARTS = 256
+
+
 def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, sid, fp, shingles): the sorted hashes of the distinct shingles of each row with an id and words, their hash and their SimHash."""
+    """(doc_id, sid, fp, shingles, parts): the sorted hashes of the distinct shingles of each row with an id and words, their hash, their SimHash, and how many lie in each part of the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +169,7 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
             hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in strings(coded.dictionary.cast(pa.large_binary()))], np.uint64)
             words = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
             full = _chained(words, np.arange(max(0, len(words) - shingle_words + 1)), shingle_words)
-            kept, sids, fps, found = [], [], [], []
+            kept, sids, fps, found, parts = [], [], [], [], []
             for row, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 if s < e:
                     own = full[s : e - shingle_words + 1] if e - s >= shingle_words else _chained(words, np.array([s]), e - s)
@@ -173,24 +177,27 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
                     found.append(own)
                     kept.append(row)
                     sids.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                    parts.append(np.bincount(own.view(np.uint64) >> np.uint64(56), minlength=PARTS).astype(np.int32))
                     fps.append(np.packbits(2 * np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(own)))
             long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "fp", "shingles"])
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * PARTS, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists, counts]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "fp", "shingles", "parts"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, fp long, shingles array<long>")
+    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, fp long, shingles array<long>, parts array<int>")
 
 
 #: A shingle that more prefixes hold goes to the end of the order; so many such shingles are sent to the tasks at most.
 OFTEN, MOST_OFTEN = 64, 500_000
 
 
-def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int]) -> DataFrame:
+def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int], entered: bool = False) -> DataFrame:
     """(token, sid, size, place): of each set the first shingles in the order (how often, hash) that any similar set must share one of.
 
     Of a set of n, a similar one holds at least similarity * n; so not all of the first n - ceil(similarity * n) + 1 can
-    be missing from it, and of two similar sets the first common shingle is in both prefixes.
+    be missing from it, and of two similar sets the first common shingle is in both prefixes. With entered, only those
+    shingles that would not be in the prefix if all were equally often.
     """
     tokens = np.array(sorted(often), np.int64)
     levels = np.array([often[x] for x in tokens.tolist()], np.int8)
@@ -208,6 +215,8 @@ def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int]) -> Data
             order = np.lexsort((flat, level, row))
             place = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)
             first = place < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[row]
+            if entered:  # hashes come sorted, so the plain prefix is the one by position
+                first &= ~first[order]
             row = row[first]
             sids = batch["sid"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(flat[order][first]), pa.array(sids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["token", "sid", "size", "place"])
@@ -216,13 +225,29 @@ def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int]) -> Data
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sids whose sets reach the similarity."""
+    """The pairs (a, b) of sids whose sets reach the similarity.
+
+    Two sets share no more than the lesser count of each part of the hashes' range, summed: by that bound most pairs go
+    before any shingles are sent. It never drops a pair that reaches the similarity.
+    """
     pairs = staged(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    needed = staged(sets.join(ends, "sid", "left_semi").select("sid", "shingles"), "needed")
-    both = pairs.join(needed.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(needed.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def both(pairs: DataFrame, own: DataFrame, column: str) -> DataFrame:
+        x, y = (own.select(F.col("sid").alias(end), F.col(column).alias(c)) for end, c in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b")
+
+    def reached(shared: Column, size_x: Column, size_y: Column) -> Column:
+        return shared >= F.lit(similarity) * (size_x + size_y - shared)
+
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    bound = total(F.zip_with("x", "y", lambda p, q: F.least(p, q)))
+    likely = staged(both(pairs, sets, "parts").where(reached(bound, total(F.col("x")), total(F.col("y")))).select("a", "b"), "likely")
+    ends = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
+    needed = staged(sets.select("sid", "shingles").join(ends, "sid", "left_semi"), "needed")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    out = staged(both(likely, needed, "shingles").where(reached(shared, F.size("x"), F.size("y"))).select("a", "b"), "similar")
+    unstaged(pairs, likely, needed)
+    return out
 
 
 def close_links(sets: DataFrame, similarity: float) -> DataFrame:
@@ -246,28 +271,31 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     test, so a large group of near copies is never listed by pairs.
     """
     often: dict[int, int] = {}
-    for _ in range(2):
-        met = _prefixes(sets, similarity, often).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
+    for entered in (False, True):
+        met = _prefixes(sets, similarity, often, entered).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
         top = met.orderBy(F.desc("n"), "token").limit(MOST_OFTEN).toArrow()
         new = {t: n.bit_length() for t, n in zip(top["token"].to_pylist(), top["n"].to_pylist()) if t not in often}
         room = MOST_OFTEN - len(often)
         often.update(list(new.items())[:room])
         if not new or room <= len(new):
             break
-    rows = _prefixes(sets, similarity, often)
-    several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    rows = staged(rows.join(several, "token"), "met")
-    edges = staged(close_links(sets, similarity), "similar")
+    several = staged(_prefixes(sets, similarity, often).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+    rows = staged(_prefixes(sets, similarity, often).join(several, "token"), "met")
+    unstaged(several)
+    edges = close_links(sets, similarity)
     share = similarity / (1 + similarity)
     one = F.struct("size", "sid", "place", "component")
     short = F.col("place") < F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - F.lit(1e-6)) + 1
 
     def labelled(rows: DataFrame) -> DataFrame:
         """Rows of shingles that different components hold, one of them in its shorter prefix."""
-        named = connected_components(edges).withColumnRenamed("node", "sid")
+        components = connected_components(edges)
+        named = components.withColumnRenamed("node", "sid")
         members = rows.select("token", "sid", "size", "place").join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         apart = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(short).alias("some")).where("low <> high and some").select("token")
-        return staged(members.join(apart, "token"), "open")
+        found = staged(members.join(apart, "token"), "open")
+        unstaged(components, rows)
+        return found
 
     def candidates(met: DataFrame) -> DataFrame:
         """Pairs of the structs x and y, x the smaller; no more can be shared than what follows the first common shingle, itself included."""
@@ -284,7 +312,10 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         xs, ys = rows.where(short).select("token", one.alias("x")), rows.select("token", one.alias("y"))
         if smallest:
             xs = xs.groupBy("token").agg(F.min("x").alias("x"))
-        edges = staged(edges.union(_similar(candidates(xs.join(ys, "token")), sets, similarity)), "similar")
+        found = _similar(candidates(xs.join(ys, "token")), sets, similarity)
+        before, edges = edges, staged(edges.union(found), "edges")
+        unstaged(before, found)
+    unstaged(rows)
     return edges
 
 
@@ -298,8 +329,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     prints = staged(_shingle_sets(docs, shingle_words).select("doc_id", "sid"), "prints")
     firsts = staged(prints.groupBy("sid").agg(F.min("doc_id").alias("first")), "firsts")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    sets = staged(_shingle_sets(own, shingle_words).select("sid", "fp", "shingles"), "sets")
-    found = connected_components(similar_links(sets, similarity))
+    sets = staged(_shingle_sets(own, shingle_words).select("sid", "fp", "shingles", "parts"), "sets")
+    edges = similar_links(sets, similarity)
+    found = connected_components(edges)
+    unstaged(sets, edges)
     named = firsts.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     ids = named.groupBy("component").agg(F.min("first").alias("group_id"))
     by_sid = staged(named.join(ids, "component").select("sid", "group_id"), "named")
