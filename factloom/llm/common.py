@@ -51,10 +51,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read again: cuts the lineage, and lost executors lose nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written once to the shared folder and read again: cuts the lineage, and lost executors lose nothing of it.
+
+    The shuffle files of the write go when it ends; nothing else reads them.
+    """
+    spark, path, name = df.sparkSession, new_path(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unstaged(*tables: DataFrame) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, languages, licenses, pii, quality, secrets, simhash, toxicity
+from . import alignment, bpe, decontaminate, fim, huffman, languages, licenses, pii, quality, repeats, secrets, simhash, toxicity
 from .common import new_path, read_table
 
 
@@ -67,9 +67,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_huffman_ids": op1_huffman_ids, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_language": op10_language}
+    return {"op1_huffman_ids": op1_huffman_ids, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_language": op10_language, "op11_alignment": op11_alignment, "op12_repeats": op12_repeats, "op13_fim": op13_fim}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_secrets": secrets.digest_sql()}
+    return {"op9_secrets": secrets.digest_sql(), "op13_fim": fim.digest_sql()}
