@@ -16,8 +16,8 @@ from .common import bounded_batches, ragged, staged, strings, words_of
 
 #: Words of a window, and of the anchor inside it that stands for it.
 WINDOW, ANCHOR = 20, 8
-#: Bytes of text in a block, and windows in an automaton (some 80 MB).
-BLOCK_BYTES, AUTOMATON_WINDOWS = 4_000_000, 30_000
+#: Bytes of text in a block, and words in an automaton (some 80 MB).
+BLOCK_BYTES, AUTOMATON_WORDS = 4_000_000, 600_000
 #: Bytes of text that a range of documents should have, and ranges at most; beyond, ranges grow, blocks don't.
 RANGE_BYTES, RANGES_MOST = 16_000_000, 20_000
 
@@ -137,57 +137,78 @@ def _spelled(found: Windows) -> str:
     return np.where(both >= 0xD800, both + 0x800, both).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _located(found: Windows, phrases: np.ndarray) -> np.ndarray:
-    """For each word, the last of these windows (by place, -1: none) whose words start there: the automata pass over all texts.
+def _located(found: Windows, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each word, which of these phrases (start and length in words, all different, none the beginning of another) occurs there, -1: none.
 
-    The phrases are sharded over automata of AUTOMATON_WINDOWS each, and every text is streamed through each of them.
+    The phrases are sharded over automata of AUTOMATON_WORDS words, and every text is streamed through each of them.
     """
     import ahocorasick
 
     spelled, out = _spelled(found), np.full(len(found.index), -1, np.int64)
     cuts = (2 * found.cuts).tolist()
     texts = [(a, spelled[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= 2 * WINDOW]
-    for low in range(0, len(phrases), AUTOMATON_WINDOWS):
+    shard = np.cumsum(length) // AUTOMATON_WORDS
+    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(shard)) + 1) if len(start) else []:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i in phrases[low : low + AUTOMATON_WINDOWS].tolist():
-            at = 2 * int(found.start[i])
-            automaton.add_word(spelled[at : at + 2 * WINDOW], i)
+        for i, a, n in zip(part.tolist(), (2 * start[part]).tolist(), (2 * length[part]).tolist()):
+            automaton.add_word(spelled[a : a + n], i)
         automaton.make_automaton()
         for begin, text in texts:
             hits = list(automaton.iter(text))
             if hits:
                 end, phrase = np.array(hits, np.int64).T
-                out[(begin + end + 1) // 2 - WINDOW] = phrase
+                out[(begin + end + 1) // 2 - length[phrase]] = phrase
     return out
 
 
+def _phrases(found: Windows, seen: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, earlier) of a block's confirmed phrases, each once, at its first place here: those that an earlier block holds, or that recur here.
+
+    Where an anchor has the same windows all over the block, and no earlier block holds only some of them, the run of
+    its windows is one phrase; else each window is one.
+    """
+    whole = pc.is_null(seen["window"]).to_numpy()
+    anchors, windows = seen["anchor"].to_numpy(), seen["window"].fill_null(0).to_numpy()
+    first, anchor, runs = found.runs()
+    anchor = anchor.view(np.int64)
+    values, at, inverse, count = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+    single = np.ones(len(values), bool)
+    single[inverse[runs != runs[at][inverse]]] = False
+    single &= ~np.isin(values, anchors[~whole])
+    before = np.isin(values, anchors[whole])
+    n = np.diff(np.append(first, len(found.at)))
+    taken = single & (before | (count > 1))
+    run = at[taken]
+    parts = [(found.start[first[run]], n[run] + WINDOW - 1, before[taken])]
+    own = np.flatnonzero(~single[np.repeat(inverse, n)])
+    if len(own):
+        key, place, many = np.unique(found.hash[own].view(np.int64), return_index=True, return_counts=True)
+        place = own[place]
+        earlier = np.isin(found.anchor[place].view(np.int64), anchors[whole])
+        asked = pa.table({"anchor": anchors[~whole], "window": windows[~whole]})
+        there = pa.table({"anchor": _signed(found.anchor[place]), "window": pa.array(key), "i": np.arange(len(key))}).join(asked, ["anchor", "window"], join_type="inner")
+        earlier[there["i"].to_numpy()] = True
+        kept = earlier | (many > 1)
+        parts.append((found.start[place[kept]], np.full(int(kept.sum()), WINDOW), earlier[kept]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _kept(docs: pa.Table, seen: pa.Table) -> pa.Table:
     """The block's texts without what an earlier place holds: seen has anchors all of whose windows occur in an earlier block (no window), and windows that do."""
     docs = docs.sort_by("place")
-    n_docs = docs.num_rows
-    if not n_docs:
+    if not docs.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
     found = Windows(docs["text"].combine_chunks())
-    gone = np.zeros(len(found.index), bool)
+    edge = np.zeros(len(found.index) + 1, np.int64)
     if len(found.start):
-        whole = pc.is_null(seen["window"]).to_numpy()
-        anchors, windows = seen["anchor"].to_numpy(), seen["window"].fill_null(0).to_numpy()
-        earlier = np.isin(found.anchor.view(np.int64), anchors[whole])
-        if not whole.all():
-            asked = pa.table({"anchor": anchors[~whole], "window": windows[~whole], "there": np.ones((~whole).sum(), bool)})
-            own = pa.table({"anchor": _signed(found.anchor), "window": _signed(found.hash), "i": np.arange(len(found.hash))})
-            earlier[own.join(asked, ["anchor", "window"], join_type="inner")["i"].to_numpy()] = True
-        _, first, inverse, count = np.unique(found.hash, return_index=True, return_inverse=True, return_counts=True)
-        phrases = first[earlier[first] | (count > 1)]  # one of each confirmed phrase, at its first place here
-        at = _located(found, np.sort(phrases))
+        start, length, earlier = _phrases(found, seen)
+        at = _located(found, start, length)
         place = np.flatnonzero(at >= 0)
         phrase = at[place]
-        later = place[earlier[phrase] | (found.start[phrase] < place)]
-        edge = np.zeros(len(found.index) + 1, np.int64)
-        np.add.at(edge, later, 1)
-        np.add.at(edge, later + WINDOW, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-    return _result(docs["doc_id"].combine_chunks(), found, gone)
+        later = earlier[phrase] | (start[phrase] < place)
+        np.add.at(edge, place[later], 1)
+        np.add.at(edge, place[later] + length[phrase[later]], -1)
+    return _result(docs["doc_id"].combine_chunks(), found, np.cumsum(edge)[:-1] > 0)
 
 
 def _result(doc_id: pa.Array, found: Windows, gone: np.ndarray) -> pa.Table:

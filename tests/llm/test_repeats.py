@@ -45,10 +45,10 @@ def corpus(seed, n=120):
     return texts
 
 
-@pytest.mark.parametrize("block,automaton", [(4_000_000, 30_000), (1500, 7)])
+@pytest.mark.parametrize("block,automaton", [(4_000_000, 600_000), (1500, 70), (6000, 500)])
 def test_matches_all_windows(spark, monkeypatch, block, automaton):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
-    monkeypatch.setattr(repeats, "AUTOMATON_WINDOWS", automaton)
+    monkeypatch.setattr(repeats, "AUTOMATON_WORDS", automaton)
     monkeypatch.setattr(repeats, "RANGE_BYTES", 20_000)
     texts = corpus(4)
     rows = list(enumerate(texts))
