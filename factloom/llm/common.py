@@ -31,8 +31,10 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse (local sessions)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse (local sessions only)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
@@ -72,6 +74,13 @@ def unstaged(*tables: DataFrame) -> None:
             delete_path(table.sparkSession, folder)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or one behind underscores that no column has."""
+    while name.lower() in {x.lower() for x in taken}:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -20,7 +21,50 @@ MAX_BITS, STRIDE, BLOCK_IDS = 16, 256, 1 << 17
 #: Words that a worker remembers the ids of at most, some 60 bytes each.
 CACHE_WORDS = 600_000
 
-_cache: dict[str, "WordIds"] = {}
+_cache: dict[str, "WordIds | WholeIds"] = {}
+
+#: How the tokenizer that WordIds is right for prepares a text.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ],
+}
+
+
+def _plain_words(spec: str) -> bool:
+    """Whether a tokenizer file drops white space, lowers letters and ends words as WordIds expects; keys beyond the fixed ones don't matter."""
+    parsed = json.loads(spec)
+    part = lambda found, want: all(part(found.get(k), v) if isinstance(v, dict) else (len(found.get(k) or ()) == len(v) and all(map(part, found[k], v))) if isinstance(v, list) else found.get(k) == v for k, v in want.items()) if isinstance(found, dict) else False
+    return part(parsed.get("normalizer"), NORMALIZER) and part(parsed.get("pre_tokenizer"), PRE_TOKENIZER) and parsed["model"].get("end_of_word_suffix") == "</w>"
+
+
+def encoder(spec: str) -> "WordIds | WholeIds":
+    """The worker's encoder of this tokenizer file; another file gets another one."""
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _cache:
+        _cache.clear()  # one vocabulary and its remembered words at a time
+        _cache[key] = (WordIds if _plain_words(spec) else WholeIds)(spec)
+    return _cache[key]
+
+
+class WholeIds:
+    """Ids of texts by the tokenizers library, each text as a whole: right for any tokenizer file."""
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def of(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and each text's number of ids."""
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(strings(text), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
 
 
 class WordIds:
@@ -198,7 +242,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> N
     sent = spark.sparkContext.broadcast(spec)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _cache.get("words") or _cache.setdefault("words", WordIds(sent.value))
+        words = encoder(sent.value)
         for batch in batches:
             for rows in slices(batch, SLICE_BYTES):
                 ids, n = words.of(rows["text"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free_name
 from .secret_rules import ANY_CASE, BASE, RULES, trigram_query
 from .spans import kept_spans, matches, rendered
 
@@ -17,33 +19,18 @@ def _java(kind: str, pattern: str) -> str:
     return pattern.replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))") if kind in ANY_CASE else pattern
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, trigram) for each trigram that some rule's query names and the lower-cased text holds."""
+def postings(text: Column) -> Column:
+    """The trigrams that some rule's query names and the lower-cased text holds."""
     grams = sorted({t for _, p, _, _ in RULES for group in trigram_query(p) for alternative in group for t in alternative})
-    low = docs.select("doc_id", ascii_lower(F.col("text")).alias("low"))
-    held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.col("low").contains(g))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
-
-
-def terms(docs: DataFrame) -> DataFrame:
-    """The rules' queries as rows (trigram, rule, part, alternative, needed, parts); their number is fixed by the rules."""
-    rows = [
-        (t, k, g, a, len(alternative), len(query))
-        for k, (_, pattern, _, _) in enumerate(RULES)
-        for query in [trigram_query(pattern)]
-        for g, group in enumerate(query)
-        for a, alternative in enumerate(group)
-        for t in alternative
-    ]
-    return docs.sparkSession.createDataFrame(rows, "trigram string, rule int, part int, alternative int, needed int, parts int")
+    low = ascii_lower(text)
+    return F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: low.contains(g))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, rules array<int>): the rules whose trigram query each document satisfies; the postings are intersected."""
-    met = postings(docs).distinct().join(F.broadcast(terms(docs)), "trigram")
-    whole = met.groupBy("doc_id", "rule", "part", "alternative").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("parts").alias("parts")).where("n = needed")
-    held = whole.groupBy("doc_id", "rule").agg(F.count_distinct("part").alias("n"), F.first("parts").alias("parts")).where("n = parts")
-    return held.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+def candidate(held: Column, k: int) -> Column:
+    """Whether a text with these trigrams can match rule k: of each part of its query all trigrams of one alternative are there."""
+    every = lambda columns: reduce(Column.__and__, columns)
+    some = lambda columns: reduce(Column.__or__, columns)
+    return every([some([every([F.array_contains(held, t) for t in alternative]) for alternative in group]) for group in trigram_query(RULES[k][1])])
 
 
 def _found(text: Column, k: int) -> Column:
@@ -54,23 +41,20 @@ def _found(text: Column, k: int) -> Column:
     return kept_spans(F.filter(matches(text, java), lambda m: F.length(value(m)) >= least), kind, k)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with spans: array<struct<start, rank, end, kind>> of all rules' matches, in code points, sorted.
+def scan(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs with a column of that name: array<struct<start, rank, end, kind>> of all rules' matches, in code points, sorted.
 
-    A rule whose regex demands trigrams is run on the documents that its query meets, others on all. Nulls are empty
-    texts, rows keep their other columns and their number; rows without doc_id or with a repeated one are searched for
-    all rules that any row of that id meets. An empty table gives no rows.
+    A rule whose regex demands trigrams is run on the texts whose postings its query meets, others on all; both are
+    decided row by row, so nothing is shuffled and no key can be hot. Nulls are empty texts, rows keep their other
+    columns (a column of that name is replaced) and their number, whatever their doc_id. An empty table gives no rows.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    met = candidates(texts).select(F.col("doc_id").alias("_met_id"), F.col("rules").alias("_met_rules"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, held = F.coalesce(F.col("text"), F.lit("")), free_name("held", docs.columns)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for k, (_, pattern, _, _) in enumerate(RULES):
-        run = F.array_contains(F.col("_met_rules"), k) if trigram_query(pattern) else text.rlike(_java("", pattern))
+        run = candidate(F.col(held), k) if trigram_query(pattern) else text.rlike(_java("", pattern))
         parts.append(F.when(run, _found(text, k)).otherwise(none))
-    joined = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_met_id")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.concat(*parts)).alias("spans"))
+    return docs.withColumn(held, postings(text)).withColumn(name, F.array_sort(F.concat(*parts))).drop(held)
 
 
 def masked(text: Column, spans: Column) -> Column:

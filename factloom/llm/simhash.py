@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, strings, texts, unstaged, words_of
+from .common import free_name, staged, strings, texts, unstaged, words_of
 from .components import connected_components
 
 #: Parts of a fingerprint; each table of variants leaves one of them out.
@@ -182,10 +182,10 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
             long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
             counts = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * PARTS, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists, counts]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "fp", "shingles", "parts"])
+            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), batch["key"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists, counts]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "sid", "fp", "shingles", "parts"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, fp long, shingles array<long>, parts array<int>")
+    return texts(docs).where("doc_id is not null").withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, sid long, fp long, shingles array<long>, parts array<int>")
 
 
 #: A shingle that more prefixes hold goes to the end of the order; so many such shingles are sent to the tasks at most.
@@ -319,32 +319,50 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, group_id) for each row of docs with an id and words: group_id is the smallest doc_id of its near copies.
+def _row_key() -> Column:
+    """Tells apart rows of one doc_id: rows of the same id and text are copies."""
+    return F.xxhash64("text").alias("key")
 
-    Near copies are documents whose distinct shingles of shingle_words words reach the similarity (shared over all), and
-    what such pairs connect; every pair counts. Texts without words and rows without doc_id are in no group; repeated
-    rows are in the same; an empty table gives no rows.
-    """
-    prints = staged(_shingle_sets(docs, shingle_words).select("doc_id", "sid"), "prints")
-    firsts = staged(prints.groupBy("sid").agg(F.min("doc_id").alias("first")), "firsts")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+
+def _grouped(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(doc_id, key, first): for each row with an id and words, first is the least (doc_id, key) of its near copies."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = staged(_shingle_sets(keyed, shingle_words).select("doc_id", "key", "sid"), "prints")
+    firsts = staged(prints.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("first")), "firsts")
+    own = keyed.withColumn("key", _row_key()).join(firsts.select("first.doc_id", "first.key"), ["doc_id", "key"], "left_semi").drop("key")
     sets = staged(_shingle_sets(own, shingle_words).select("sid", "fp", "shingles", "parts"), "sets")
     edges = similar_links(sets, similarity)
     found = connected_components(edges)
     unstaged(sets, edges)
     named = firsts.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    ids = named.groupBy("component").agg(F.min("first").alias("group_id"))
-    by_sid = staged(named.join(ids, "component").select("sid", "group_id"), "named")
-    return prints.join(by_sid, "sid").select("doc_id", "group_id")
+    ids = named.groupBy("component").agg(F.min("first").alias("least"))
+    by_sid = staged(named.join(ids, "component").select("sid", "least"), "named")
+    return prints.join(by_sid, "sid").select("doc_id", "key", F.col("least").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) for each row of docs with an id and words: group_id is the smallest doc_id of its near copies.
+
+    Near copies are documents whose distinct shingles of shingle_words words reach the similarity (shared over all), and
+    what such pairs connect; every pair counts. Texts without words and rows without doc_id are in no group; rows of one
+    doc_id are grouped by their own texts, repeated rows are in the same group; an empty table gives no rows.
+    """
+    return _grouped(docs, shingle_words, similarity).select("doc_id", F.col("first.doc_id").alias("group_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each group the document with the smallest id stays, of rows with one id a single one."""
-    groups = staged(near_duplicates(docs), "groups")
-    gone = groups.where("doc_id <> group_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = staged(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    """docs without near copies: of each group the row with the smallest id stays, of rows with one id and text a single one.
+
+    Rows are told apart by id and text, so different texts under one doc_id are judged each on its own. Rows without
+    doc_id or without words stay.
+    """
+    key, mine = free_name("row_key", docs.columns), F.struct("doc_id", "key")
+    groups = staged(_grouped(docs, 5, 0.8), "groups")
+    named = lambda rows: rows.select("doc_id", F.col("key").alias(key))
+    gone = named(groups.where(mine != F.col("first")).select("doc_id", "key").distinct())
+    kept = docs.withColumn(key, _row_key()).join(gone, ["doc_id", key], "left_anti")
+    twice = named(staged(groups.where(mine == F.col("first")).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key"), "twice"))
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    once = kept.join(twice, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(twice, ["doc_id", key], "left_anti").select(*docs.columns).union(once.select(*docs.columns))

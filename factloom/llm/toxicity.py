@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, staged, strings
+from .common import bounded_batches, free_name, slices, staged, strings
 
 #: Labelled rows that the model learns from at most: those of the smallest id hashes.
 SAMPLE_ROWS = 20_000
@@ -150,12 +150,6 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r.unit: float(np.log((r.hits + 0.5) / (r.n - r.hits + 0.5) * (1 - share) / share)) for r in found.collect()}
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name.lower() in {x.lower() for x in taken}:
-        name = "_" + name
-    return name
-
-
 def with_features(docs: DataFrame, lexicon: dict[str, float], prefix: str) -> DataFrame:
     """docs with a double for each feature, named by prefix and number."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -192,9 +186,9 @@ def score(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataF
         return docs.withColumn(score_col, F.lit(0.0))
     fit, rest = sample.where("fold > 0"), sample.where("fold = 0")
     lexicon = learn_lexicon(fit)
-    prefix = _free("f", ["".join(c[:1] for c in docs.columns)]) + "_tox"
+    prefix = free_name("f", ["".join(c[:1] for c in docs.columns)]) + "_tox"
     names = [f"{prefix}{k}" for k in range(len(FEATURES))]
-    vector, raw, chance, guess = (_free(f"{prefix}_{x}", docs.columns) for x in ("vector", "raw", "chance", "guess"))
+    vector, raw, chance, guess = (free_name(f"{prefix}_{x}", docs.columns) for x in ("vector", "raw", "chance", "guess"))
     assemble = VectorAssembler(inputCols=names, outputCol=vector)
     trees = GBTClassifier(featuresCol=vector, labelCol="toxic", predictionCol=guess, maxIter=20, maxDepth=3, stepSize=0.2, seed=7).setRawPredictionCol(raw).setProbabilityCol(chance)
     ready = staged(with_features(fit.select("text", "toxic"), lexicon, prefix).drop("text").coalesce(4), "features")

@@ -1,6 +1,7 @@
 """Huffman files: exact round trips, best lengths under the limit, ids of the tokenizers library."""
 
 import heapq
+import json
 import random
 import zlib
 
@@ -77,3 +78,23 @@ def test_whole_table(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert not texts
+
+
+def test_two_tokenizers_in_one_session(spark, tmp_path):
+    texts = ["Hello WORLD, it's me", "a <|endoftext|> b", "  tabs\tand\nlines  ", "日本 ñ", "", "MIXED Case tokens 123"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for n, name in enumerate(("word_bpe_49k.json", "byte_bpe_50k.json", "word_bpe_49k.json")):
+        huffman.write(docs, P.path(name), f"{tmp_path}/{n}")
+        library = Tokenizer.from_file(P.path(name))
+        library.no_truncation()
+        library.no_padding()
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in huffman.read(spark, f"{tmp_path}/{n}").collect()}
+        assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}, name
+
+
+def test_the_short_way_is_for_one_kind_of_file_only():
+    word, byte = (open(P.path(n), encoding="utf-8").read() for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert isinstance(huffman.encoder(word), huffman.WordIds) and isinstance(huffman.encoder(byte), huffman.WholeIds)
+    other = json.loads(word)
+    other["normalizer"]["normalizers"].pop()
+    assert isinstance(huffman.encoder(json.dumps(other)), huffman.WholeIds)

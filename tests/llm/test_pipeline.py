@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.test_decontaminate import brute as leaks
@@ -67,3 +68,21 @@ def test_stages_match_plain_python(spark, tmp_path):
     at = {i: t for i, t, _ in kept["secret_scans"]}
     for r in final:
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(at[r.doc_id] or "", add_special_tokens=False).ids and r.text == (at[r.doc_id] or "")
+
+
+def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 999)) for _ in range(n))
+    a, b, c, item = text(80), text(80), text(60), text(30)
+    long = text(20_000)
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, c), (8, c + " " + item), (None, c + " " + item), (None, b), (9, long), (10, long + " end"), (9, None)]
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as spans", "1 as _met_id", "2 as held", "3 as row_key", "4 as key", "5 as sid", "6 as first")
+    once = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert once.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=repr) == sorted([(3, a), (7, b), (8, c), (8, c + " " + item), (None, c + " " + item), (None, b), (9, long), (9, None)], key=repr)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, sf)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted([(i, t) for i, t in rows if item not in (t or "")], key=repr)
+    masked = corpus_pipeline.mask_secrets(spark, docs.withColumn("text", F.concat(F.lit("password: hunter2222 "), "text")), sf)
+    assert masked.columns == docs.columns and all(r.spans == "x" and (r.text is None or r.text.count("[SECRET]") == 1) for r in masked.collect())
