@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, secrets, simhash, toxicity
-from factloom.llm.common import new_path, read_table
+from factloom.llm.common import free_name, new_path, read_table
 from factloom.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more are rejected."""
-    score = toxicity._free("score", docs.columns)
+    score = free_name("score", docs.columns)
     scored = toxicity.score(docs, read_table(spark, sf_dir, "labels"), score)
     return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
@@ -23,18 +23,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item are rejected; rows without doc_id stay."""
-    found = decontaminate.hits(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds a benchmark item are rejected, with or without doc_id; other rows of the same doc_id stay."""
+    key = free_name("row_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontaminate.hits(keyed.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; every document stays, n_chars follows its text."""
-    found = secrets.scan(docs.select(*docs.columns))
-    text = F.when(F.size("spans") > 0, secrets.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    spans = free_name("spans", docs.columns)
+    some = F.size(spans) > 0
+    out = secrets.scan(docs, spans).withColumn("text", F.when(some, secrets.masked(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
