@@ -2,7 +2,8 @@
 
 Tables are those of factloom.plans.facts. Answers are text: sets sorted and joined by ", ", maps as sorted k=v entries,
 numbers in decimal. A metric of a device has a row for every device, whether or not its child tables do; argmax and
-first-wins answers follow the devices' file order.
+first-wins answers follow the devices' file order. If every table has a column world, each world is answered on its own
+and the answers carry it: that is how factloom.operators.scenarios evaluates many what-ifs at once.
 """
 
 from __future__ import annotations
@@ -30,15 +31,21 @@ def _register(*names: str):
     return add
 
 
+def _world(t: Tables) -> list[str]:
+    return ["world"] if "world" in t["devices"].columns else []
+
+
 def _long(wide: DataFrame, scope: str, answers: dict[str, Column]) -> DataFrame:
     """A row for each scope and metric, in one pass."""
+    w = [c for c in wide.columns if c == "world"]
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("string").alias("answer")) for k, v in answers.items()]))
-    return wide.select(F.col(scope).alias("scope"), rows.alias("r")).select("r.metric", "scope", "r.answer")
+    return wide.select(*w, F.col(scope).alias("scope"), rows.alias("r")).select(*w, "r.metric", "scope", "r.answer")
 
 
 def _children(t: Tables, name: str, *aggregates: Column) -> DataFrame:
     """Devices with aggregates of a child table, which may have no row for some."""
-    return t["devices"].select("ord", "host", "local_as").join(t[name].groupBy("ord").agg(*aggregates), "ord", "left")
+    w = _world(t)
+    return t["devices"].select(*w, "ord", "host", "local_as").join(t[name].groupBy(*w, "ord").agg(*aggregates), [*w, "ord"], "left")
 
 
 def _int(c: Column) -> Column:
@@ -90,7 +97,7 @@ def users(t: Tables) -> DataFrame:
 @_register("interface_count", "interface_ip_map", "subinterface_count", "vrf_bind_map", "interface_status_map")
 def interface_metrics(t: Tables) -> DataFrame:
     """Of interfaces with one name the last counts in a map."""
-    last = Window.partitionBy("ord", "name").orderBy(F.desc("no"))
+    last = Window.partitionBy(*_world(t), "ord", "name").orderBy(F.desc("no"))
     rows = t["interfaces"].withColumn("top", F.row_number().over(last) == 1)
     pairs = lambda v: map_text(F.collect_list(F.when(F.col("top"), F.struct(F.col("name").alias("k"), v.alias("v")))))
     wide = _children({**t, "interfaces": rows}, "interfaces", F.count("*").alias("n"), F.count_if(F.col("name").contains(".")).alias("sub"), pairs(_as_text(F.col("ipv4"))).alias("ips"), pairs(or_else(F.col("vrf"), "default")).alias("vrfs"), pairs(or_else(F.col("status"), "unknown")).alias("states"))
@@ -100,7 +107,8 @@ def interface_metrics(t: Tables) -> DataFrame:
 @_register("bgp_neighbor_count", "neighbor_list_ibgp", "neighbor_list_ebgp")
 def neighbor_metrics(t: Tables) -> DataFrame:
     """A neighbor of another AS, or of any if the device has none, is external; those without peer or AS are in neither list."""
-    rows = t["neighbors"].join(t["devices"].select("ord", F.col("local_as").alias("own")), "ord")
+    w = _world(t)
+    rows = t["neighbors"].join(t["devices"].select(*w, "ord", F.col("local_as").alias("own")), [*w, "ord"])
     known = F.col("peer").isNotNull() & F.col("remote_as").isNotNull()
     same = F.col("remote_as").eqNullSafe(F.col("own"))
     wide = _children({**t, "neighbors": rows}, "neighbors", F.count("*").alias("n"), _set(F.when(known & same, F.col("peer"))).alias("ibgp"), _set(F.when(known & ~same, F.col("peer"))).alias("ebgp"))
@@ -129,10 +137,11 @@ def service_sets(t: Tables) -> DataFrame:
 
 @_register("routing_table_entry_count")
 def routing_entries(t: Tables) -> DataFrame:
-    counted = [t[name].groupBy("ord").agg(F.count(c).alias(f"n_{name}")) for name, c in (("neighbors", "ord"), ("areas", "interface"), ("interfaces", "ord"))]
-    wide = t["devices"].select("ord", "host")
+    w = _world(t)
+    counted = [t[name].groupBy(*w, "ord").agg(F.count(c).alias(f"n_{name}")) for name, c in (("neighbors", "ord"), ("areas", "interface"), ("interfaces", "ord"))]
+    wide = t["devices"].select(*w, "ord", "host")
     for c in counted:
-        wide = wide.join(c, "ord", "left")
+        wide = wide.join(c, [*w, "ord"], "left")
     return _long(wide, "host", {"routing_table_entry_count": _int(F.col("n_neighbors")) + _int(F.col("n_areas")) + _int(F.col("n_interfaces"))})
 
 
@@ -142,19 +151,21 @@ def routing_entries(t: Tables) -> DataFrame:
 def missing_ibgp_pairs(t: Tables) -> DataFrame:
     """(asn, a, b, pair): devices of one AS, in file order, of which one doesn't list the other's loopback globally."""
     d = t["devices"].where(~falsy(F.col("local_as")))
-    x, y = (d.select("local_as", F.col("ord").alias(f"{s}_ord"), F.col("host").alias(f"{s}_host"), F.col("loopback").alias(f"{s}_ip")) for s in "xy")
-    pairs = x.join(y, "local_as").where("x_ord < y_ord")
-    peers = t["neighbors"].where("vrf IS NULL AND peer IS NOT NULL").select("ord", "peer").distinct()
-    forth, back = peers.select(F.col("ord").alias("x_ord"), F.col("peer").alias("y_ip"), F.lit(1).alias("forth")), peers.select(F.col("ord").alias("y_ord"), F.col("peer").alias("x_ip"), F.lit(1).alias("back"))
-    met = pairs.join(forth, ["x_ord", "y_ip"], "left").join(back, ["y_ord", "x_ip"], "left")
-    return met.where("forth IS NULL OR back IS NULL").select(F.col("local_as").alias("asn"), "x_ord", "y_ord", F.concat_ws("<->", "x_host", "y_host").alias("pair"))
+    w = _world(t)
+    x, y = (d.select(*w, "local_as", F.col("ord").alias(f"{s}_ord"), F.col("host").alias(f"{s}_host"), F.col("loopback").alias(f"{s}_ip")) for s in "xy")
+    pairs = x.join(y, [*w, "local_as"]).where("x_ord < y_ord")
+    peers = t["neighbors"].where("vrf IS NULL AND peer IS NOT NULL").select(*w, "ord", "peer").distinct()
+    forth, back = peers.select(*w, F.col("ord").alias("x_ord"), F.col("peer").alias("y_ip"), F.lit(1).alias("forth")), peers.select(*w, F.col("ord").alias("y_ord"), F.col("peer").alias("x_ip"), F.lit(1).alias("back"))
+    met = pairs.join(forth, [*w, "x_ord", "y_ip"], "left").join(back, [*w, "y_ord", "x_ip"], "left")
+    return met.where("forth IS NULL OR back IS NULL").select(*w, F.col("local_as").alias("asn"), "x_ord", "y_ord", F.concat_ws("<->", "x_host", "y_host").alias("pair"))
 
 
 @_register("ibgp_fullmesh_ok", "ibgp_missing_pairs", "ibgp_missing_pairs_count")
 def full_mesh(t: Tables) -> DataFrame:
-    groups = t["devices"].where(~falsy(F.col("local_as"))).select(F.col("local_as").alias("asn")).distinct()
-    found = missing_ibgp_pairs(t).groupBy("asn").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
-    wide = groups.join(found, "asn", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<string>")))
+    w = _world(t)
+    groups = t["devices"].where(~falsy(F.col("local_as"))).select(*w, F.col("local_as").alias("asn")).distinct()
+    found = missing_ibgp_pairs(t).groupBy(*w, "asn").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
+    wide = groups.join(found, [*w, "asn"], "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<string>")))
     n = F.size("pairs")
     told = F.when(n == 0, COMPLETE).when(n <= 5, F.array_join("pairs", ", ")).otherwise(F.concat(F.array_join(F.slice("pairs", 1, 5), ", "), F.lit(" and "), (n - 5).cast("string"), F.lit(" more")))
     return _long(wide, "asn", {"ibgp_fullmesh_ok": told, "ibgp_missing_pairs": F.array_join("pairs", ", "), "ibgp_missing_pairs_count": n})
@@ -164,26 +175,28 @@ def full_mesh(t: Tables) -> DataFrame:
 def under_peered(t: Tables) -> DataFrame:
     """Devices with fewer global peers, of any AS, than other loopbacks in their AS."""
     d = t["devices"].where(~falsy(F.col("local_as")))
-    size = d.groupBy("local_as").agg(F.count_distinct("loopback").alias("size"))
-    peers = t["neighbors"].where("vrf IS NULL").groupBy("ord").agg(F.count_distinct("peer").alias("n"))
-    low = d.join(size, "local_as").join(peers, "ord", "left").withColumn("low", F.coalesce("n", F.lit(0)) < F.col("size") - 1)
-    wide = low.groupBy("local_as").agg(_set(F.when(F.col("low"), F.col("host"))).alias("x"), F.count_if("low").alias("n"))
+    w = _world(t)
+    size = d.groupBy(*w, "local_as").agg(F.count_distinct("loopback").alias("size"))
+    peers = t["neighbors"].where("vrf IS NULL").groupBy(*w, "ord").agg(F.count_distinct("peer").alias("n"))
+    low = d.join(size, [*w, "local_as"]).join(peers, [*w, "ord"], "left").withColumn("low", F.coalesce("n", F.lit(0)) < F.col("size") - 1)
+    wide = low.groupBy(*w, "local_as").agg(_set(F.when(F.col("low"), F.col("host"))).alias("x"), F.count_if("low").alias("n"))
     return _long(wide, "local_as", {"ibgp_under_peered_devices": F.col("x"), "ibgp_under_peered_count": F.col("n")})
 
 
 def l2vpn_links(t: Tables) -> DataFrame:
     """(a_ord, a, b_ord, b, pw, back, back_pw): the first pseudowire of each directed pair, with the first one that returns."""
-    d = t["devices"]
-    x = t["xconnects"].join(d.select("ord", F.col("host").alias("a"), F.col("loopback").alias("a_ip")), "ord")
-    x = x.join(d.select(F.col("loopback").alias("neighbor"), F.col("host").alias("b"), F.col("ord").alias("b_ord")), "neighbor", "left").withColumn("b", F.coalesce("b", F.lit(UNKNOWN)))
-    first = x.withColumn("k", F.row_number().over(Window.partitionBy("a", "b").orderBy("no"))).where("k = 1")
-    returns = t["xconnects"].withColumn("k", F.row_number().over(Window.partitionBy("ord", "neighbor").orderBy("no"))).where("k = 1").select(F.col("ord").alias("b_ord"), F.col("neighbor").alias("a_ip"), F.col("pw").alias("back_pw"), F.lit(True).alias("back"))
-    return first.join(returns, ["b_ord", "a_ip"], "left").select("a", "b", F.concat_ws("<->", "a", "b").alias("pair"), "pw", F.coalesce("back", F.lit(False)).alias("back"), "back_pw")
+    d, w = t["devices"], _world(t)
+    x = t["xconnects"].join(d.select(*w, "ord", F.col("host").alias("a"), F.col("loopback").alias("a_ip")), [*w, "ord"])
+    x = x.join(d.select(*w, F.col("loopback").alias("neighbor"), F.col("host").alias("b"), F.col("ord").alias("b_ord")), [*w, "neighbor"], "left").withColumn("b", F.coalesce("b", F.lit(UNKNOWN)))
+    first = x.withColumn("k", F.row_number().over(Window.partitionBy(*w, "a", "b").orderBy("no"))).where("k = 1")
+    returns = t["xconnects"].withColumn("k", F.row_number().over(Window.partitionBy(*w, "ord", "neighbor").orderBy("no"))).where("k = 1").select(*w, F.col("ord").alias("b_ord"), F.col("neighbor").alias("a_ip"), F.col("pw").alias("back_pw"), F.lit(True).alias("back"))
+    return first.join(returns, [*w, "b_ord", "a_ip"], "left").select(*w, "a", "b", F.concat_ws("<->", "a", "b").alias("pair"), "pw", F.coalesce("back", F.lit(False)).alias("back"), "back_pw")
 
 
 def _global(df: DataFrame, answers: dict[str, Column]) -> DataFrame:
-    """Answers of one global aggregate."""
-    return _long(df.agg(*[v.alias(k) for k, v in answers.items()]).withColumn("scope", F.lit("GLOBAL")), "scope", {k: F.col(k) for k in answers})
+    """Answers of one global aggregate, or of one for each world."""
+    w = [c for c in df.columns if c == "world"]
+    return _long((df.groupBy(*w) if w else df).agg(*[v.alias(k) for k, v in answers.items()]).withColumn("scope", F.lit("GLOBAL")), "scope", {k: F.col(k) for k in answers})
 
 
 @_register("l2vpn_pairs", "l2vpn_unidirectional_pairs", "l2vpn_unidir_count", "l2vpn_pwid_mismatch_pairs", "l2vpn_mismatch_count")
@@ -195,7 +208,8 @@ def l2vpn_metrics(t: Tables) -> DataFrame:
 
 @_register("vrf_without_rt_pairs", "vrf_without_rt_count")
 def vrf_without_rt(t: Tables) -> DataFrame:
-    by = t["service_vrfs"].groupBy("ord", "vrf").agg(F.count("rt").alias("n")).where("n = 0").join(t["devices"].select("ord", "host"), "ord")
+    w = _world(t)
+    by = t["service_vrfs"].groupBy(*w, "ord", "vrf").agg(F.count("rt").alias("n")).where("n = 0").join(t["devices"].select(*w, "ord", "host"), [*w, "ord"])
     pair = F.concat_ws("/", "host", "vrf")
     return _global(by, {"vrf_without_rt_pairs": _set(pair), "vrf_without_rt_count": F.count_distinct(pair)})
 
@@ -209,26 +223,29 @@ def flag_partitions(t: Tables) -> DataFrame:
 @_register("devices_with_same_vrf", "interfaces_in_vrf", "vrf_interface_bind_count")
 def by_vrf(t: Tables) -> DataFrame:
     """A VRF's devices: by BGP, service or interface binding; its interfaces, over all devices and of each."""
-    bound = t["interfaces"].where(~falsy(F.col("vrf"))).join(t["devices"].select("ord"), "ord", "left_semi")
-    members = t["vrfs"].select("vrf", "ord").union(t["service_vrfs"].select("vrf", "ord")).union(bound.select("vrf", "ord")).distinct().join(t["devices"].select("ord", "host"), "ord")
-    out = _long(members.groupBy("vrf").agg(_set(F.col("host")).alias("x")), "vrf", {"devices_with_same_vrf": F.col("x")})
-    out = out.union(_long(bound.groupBy("vrf").agg(F.count("*").alias("n")), "vrf", {"interfaces_in_vrf": F.col("n")}))
-    each = bound.join(t["devices"].select("ord", "host"), "ord").groupBy("host", "vrf").agg(F.count("*").alias("n")).withColumn("scope", F.concat_ws("/", "host", "vrf"))
+    w = _world(t)
+    bound = t["interfaces"].where(~falsy(F.col("vrf"))).join(t["devices"].select(*w, "ord"), [*w, "ord"], "left_semi")
+    members = t["vrfs"].select(*w, "vrf", "ord").union(t["service_vrfs"].select(*w, "vrf", "ord")).union(bound.select(*w, "vrf", "ord")).distinct().join(t["devices"].select(*w, "ord", "host"), [*w, "ord"])
+    out = _long(members.groupBy(*w, "vrf").agg(_set(F.col("host")).alias("x")), "vrf", {"devices_with_same_vrf": F.col("x")})
+    out = out.union(_long(bound.groupBy(*w, "vrf").agg(F.count("*").alias("n")), "vrf", {"interfaces_in_vrf": F.col("n")}))
+    each = bound.join(t["devices"].select(*w, "ord", "host"), [*w, "ord"]).groupBy(*w, "host", "vrf").agg(F.count("*").alias("n")).withColumn("scope", F.concat_ws("/", "host", "vrf"))
     return out.union(_long(each, "scope", {"vrf_interface_bind_count": F.col("n")}))
 
 
 @_register("ospf_area_membership", "ospf_neighbor_count_per_area", "devices_in_as")
 def by_area_and_as(t: Tables) -> DataFrame:
-    areas = t["areas"].where("area IS NOT NULL").join(t["devices"].select("ord", "host"), "ord").groupBy("area").agg(_set(F.col("host")).alias("x"), F.count("interface").alias("n"))
-    own = t["devices"].where("local_as IS NOT NULL").groupBy("local_as").agg(_set(F.col("host")).alias("x"))
+    w = _world(t)
+    areas = t["areas"].where("area IS NOT NULL").join(t["devices"].select(*w, "ord", "host"), [*w, "ord"]).groupBy(*w, "area").agg(_set(F.col("host")).alias("x"), F.count("interface").alias("n"))
+    own = t["devices"].where("local_as IS NOT NULL").groupBy(*w, "local_as").agg(_set(F.col("host")).alias("x"))
     return _long(areas, "area", {"ospf_area_membership": F.col("x"), "ospf_neighbor_count_per_area": F.col("n")}).union(_long(own, "local_as", {"devices_in_as": F.col("x")}))
 
 
 def device_counts(t: Tables) -> DataFrame:
     """ord, host, local_as, and the numbers of interfaces, global neighbors, VRFs, and the areas of every device."""
-    out = t["devices"].select("ord", "host", "local_as")
+    w = _world(t)
+    out = t["devices"].select(*w, "ord", "host", "local_as")
     for name, rows, agg in (("n_if", t["interfaces"], F.count("*")), ("n_bgp", t["neighbors"].where("vrf IS NULL"), F.count("*")), ("n_vrf", t["vrfs"], F.count("*")), ("areas", t["areas"], F.array_sort(F.collect_set("area")))):
-        out = out.join(rows.groupBy("ord").agg(agg.alias(name)), "ord", "left")
+        out = out.join(rows.groupBy(*w, "ord").agg(agg.alias(name)), [*w, "ord"], "left")
     return out.na.fill(0, ["n_if", "n_bgp", "n_vrf"]).withColumn("areas", F.coalesce("areas", F.array().cast("array<string>")))
 
 
@@ -236,8 +253,9 @@ def device_counts(t: Tables) -> DataFrame:
 def comparisons(t: Tables) -> DataFrame:
     """For pairs of devices of one AS, in file order."""
     d = device_counts(t).where(~falsy(F.col("local_as")))
-    x, y = (d.select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns]) for s in "xy")
-    pairs = x.join(y, F.col("x_local_as") == F.col("y_local_as")).where("x_ord < y_ord").withColumn("scope", F.concat_ws("|", "x_host", "y_host"))
+    w = _world(t)
+    x, y = (d.select(*w, *[F.col(c).alias(f"{s}_{c}") for c in d.columns if c not in w], F.col("local_as").alias("asn")) for s in "xy")
+    pairs = x.join(y, [*w, "asn"]).where("x_ord < y_ord").withColumn("scope", F.concat_ws("|", "x_host", "y_host"))
 
     def counts(c: str) -> Column:
         return F.concat(F.col("x_host"), F.lit(": "), F.col(f"x_{c}"), F.lit(", "), F.col("y_host"), F.lit(": "), F.col(f"y_{c}"), F.lit(" (difference "), F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")), F.lit(")"))
@@ -255,8 +273,10 @@ def extremes(t: Tables) -> DataFrame:
     d = device_counts(t)
     best = lambda c, sign: F.min_by(F.struct("host", c), F.struct(sign * F.col(c), F.col("ord")))
     told = lambda k: F.concat(F.col(f"{k}.host"), F.lit(" ("), F.col(f"{k}").getField("n_if" if k != "peers" else "n_bgp"), F.lit(")"))
-    top = d.agg(best("n_if", -1).alias("most"), best("n_bgp", -1).alias("peers")).withColumn("scope", F.lit("GLOBAL"))
-    low = d.where("n_if > 0").agg(best("n_if", 1).alias("least")).withColumn("scope", F.lit("GLOBAL"))
+    w = _world(t)
+    grouped = lambda df: df.groupBy(*w) if w else df
+    top = grouped(d).agg(best("n_if", -1).alias("most"), best("n_bgp", -1).alias("peers")).withColumn("scope", F.lit("GLOBAL"))
+    low = grouped(d.where("n_if > 0")).agg(best("n_if", 1).alias("least")).withColumn("scope", F.lit("GLOBAL"))
     return _long(top, "scope", {"max_interface_device": told("most"), "max_bgp_peer_device": told("peers")}).union(_long(low, "scope", {"min_interface_device": told("least")}))
 
 
@@ -264,7 +284,7 @@ def extremes(t: Tables) -> DataFrame:
 def summaries(t: Tables) -> DataFrame:
     d = t["devices"].where(~falsy(F.col("local_as")))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.col("host"), F.lit(": AS "), F.col("local_as")).alias("s")))), lambda x: x["s"]), ", ")
-    spread = d.groupBy("local_as").agg(F.count("*").alias("n"))
+    spread = d.groupBy(*_world(t), "local_as").agg(F.count("*").alias("n"))
     by_as = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("AS "), F.col("local_as"), F.lit(": "), F.col("n")))), ", ")
     used = device_counts(t).where("n_vrf > 0")
     by_host = F.array_join(F.array_sort(F.collect_list(F.concat(F.col("host"), F.lit(": "), F.col("n_vrf")))), ", ")
