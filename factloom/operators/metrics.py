@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import falsy, map_text, or_else, set_text
+from factloom.operators.links import alternative_paths
 
 Tables = dict[str, DataFrame]
 OFF, UNSET, COMPLETE, UNKNOWN = "disabled", "not set", "complete", "UNKNOWN"
@@ -291,6 +292,12 @@ def summaries(t: Tables) -> DataFrame:
     return _global(d, {"all_devices_same_as": listed}).union(_global(spread, {"bgp_as_distribution": by_as})).union(_global(used, {"vrf_usage_statistics": by_host}))
 
 
+@_register("find_alternative_path")
+def alternatives(t: Tables) -> DataFrame:
+    """For the two ends of every BGP link, whichever comes first, the way around it; of tables without worlds only."""
+    return alternative_paths(t)
+
+
 GROUPS = (
     device_fields, server_lists, users, interface_metrics, neighbor_metrics, vrf_metrics, ospf_metrics, service_sets, routing_entries, full_mesh, under_peered, l2vpn_metrics, vrf_without_rt, flag_partitions, by_vrf, by_area_and_as, comparisons, extremes, summaries
 )

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+from factloom.operators import vector_index
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, label, score, rank): the k nearest others of each query, ties by vec_id. A vector of length zero is 0 alike to all.
-
-    queries is a stated, small set: it is sent to the tasks, and vectors stay where they are but for k rows each.
-    """
-    unit = lambda df: df.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
-    q = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    pairs = unit(vectors).join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "query_label", "vec_id", "label", F.round(F.coalesce(F.try_divide(_dot(F.col("embedding"), F.col("q")), F.col("norm") * F.col("qn")), F.lit(0.0)), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where(F.col("rank") <= k)
+    """(query_id, query_label, vec_id, label, score, rank): the k nearest others of each query, ties by vec_id. A vector of length zero is 0 alike to all."""
+    found = vector_index.exact(vectors, queries.select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    labels = vectors.select("vec_id", "label")
+    own = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    return found.join(labels, "vec_id").join(own, "query_id").select("query_id", "query_label", "vec_id", "label", "score", "rank")
 
 
 def recall_and_mrr(ranked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
