@@ -84,9 +84,9 @@ def read_model_outputs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, host, port, device_type) of devices[] in JSON. Passwords aren't in the schema, so they are never read."""
-    raw = spark.read.schema("devices array<struct<name: string, host: string, ip: string, port: int, device_type: string>>").json(path, multiLine=True)
-    return raw.select(F.explode("devices").alias("d")).select("d.name", F.coalesce("d.host", "d.ip").alias("host"), "d.port", "d.device_type")
+    """(name, host, port, device_type) of devices[] in JSON: oob_ip and telnet_port, else host or ip and port. Passwords aren't in the schema, so they are never read."""
+    raw = spark.read.schema("devices array<struct<name: string, oob_ip: string, telnet_port: int, host: string, ip: string, port: int, device_type: string>>").json(path, multiLine=True)
+    return raw.select(F.explode("devices").alias("d")).select("d.name", F.coalesce("d.oob_ip", "d.host", "d.ip").alias("host"), F.coalesce("d.telnet_port", "d.port").alias("port"), "d.device_type")
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.xml", recursive: bool = True) -> DataFrame:

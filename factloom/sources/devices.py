@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from factloom.operators.relations import numbered
+
 from .datasets import read_texts
 from .staging import staged
 
 #: vrf and encapsulation are read as they stand, since their forms differ.
 INTERFACE = "struct<id: string, name: string, vrf: string, `vrf-name`: string, encapsulation: string, shutdown: string, ip: struct<address: struct<primary: struct<address: string, mask: string>>>, ipv4: struct<address: struct<ip: string, mask: string>>>"
+#: update-source is read as it stands: its first child's name and text are the value.
+PEER = "struct<id: string, `remote-as`: string, `update-source`: string>"
 LEVELS = "struct<minor: string, severe: string, critical: string>"
 #: One schema for both dialects: absent sections read as null, an empty element as ''. Secrets are not in it, so they are never read.
 SCHEMA = """
-    name string, address string, port int, ssh struct<`host-key`: string>, `device-type`: struct<cli: struct<`ned-id`: string>>,
+    name string, address string, port int, ssh struct<`host-key`: string>, `device-type`: struct<cli: struct<`ned-id`: string>, netconf: struct<`ned-id`: string>>,
     config struct<
         admin: struct<aaa: struct<authentication: struct<users: struct<user: array<struct<name: string>>>>>, disk_status_config: LEVELS, memory_status_config: LEVELS, `SNMP-COMMUNITY-MIB`: string, `SNMPv2-MIB`: string>,
-        `config-register`: string, hostname: string, version: string, clock: struct<timezone: struct<zone: string>>, logging: struct<buffered: struct<`severity-level`: string>>,
-        ip: struct<ssh: struct<version: string>, http: struct<server: string>, cef: string, `cef-conf`: struct<cef: string>>, ssh: struct<server: string>,
+        `config-register`: string, hostname: struct<_VALUE: string, _xmlns: string>, version: string, clock: struct<timezone: struct<zone: string>>, logging: struct<buffered: struct<`severity-level`: string>>,
+        ip: struct<ssh: struct<version: string>, http: struct<server: string>, cef: string, `cef-conf`: struct<cef: string>, `forward-protocol`: struct<nd: string>>, ssh: struct<server: string>,
         username: array<struct<name: string>>,
         line: struct<vty: array<struct<login: struct<local: string>, transport: struct<input: string>>>>,
         interface: struct<Loopback: array<INTERFACE>, Ethernet: array<INTERFACE>, MgmtEth: array<INTERFACE>, GigabitEthernet: array<INTERFACE>, `GigabitEthernet-subinterface`: struct<GigabitEthernet: array<INTERFACE>>>,
@@ -27,24 +31,29 @@ SCHEMA = """
             import: struct<`route-target`: struct<`address-list`: array<struct<name: string>>>>, export: struct<`route-target`: struct<`address-list`: array<struct<name: string>>>>>>>>>>,
         l2vpn: struct<xconnect: struct<`group`: array<struct<p2p: array<struct<interface: struct<name: string>, neighbor: struct<address: string, `pw-id`: string>>>>>>>,
         mpls: struct<ldp: struct<interface: array<struct<name: string>>>>,
-        router: struct<
+        router: struct<_xmlns: string,
             ospf: array<struct<name: string, area: array<struct<id: string, interface: array<struct<name: string>>>>>>,
-            bgp: struct<`as-no`: string, neighbor: array<struct<id: string, `remote-as`: string>>,
-                `bgp-no-instance`: struct<id: string, neighbor: array<struct<id: string, `remote-as`: string>>,
-                    vrf: array<struct<name: string, rd: string, neighbor: array<struct<id: string, `remote-as`: string>>>>>>>>
-""".replace("INTERFACE", INTERFACE).replace("LEVELS", LEVELS)
+            bgp: struct<`as-no`: string, neighbor: array<PEER>,
+                `bgp-no-instance`: struct<id: string, neighbor: array<PEER>,
+                    vrf: array<struct<name: string, rd: string, neighbor: array<PEER>>>>>>>
+""".replace("PEER", PEER).replace("INTERFACE", INTERFACE).replace("LEVELS", LEVELS)
+
+
+def dense(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ord: 0, 1, 2, ... in the order of these columns, without a gap and without putting whole rows in order."""
+    staged_rows = staged(rows, "rows")
+    places = numbered(staged_rows.select(*order).withColumn("one", F.lit(1)), "one", order)
+    return staged_rows.join(places.select(*order, (F.col("place") - 1).cast("long").alias("ord")), order)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, file, device): a row for each device element, ord by file name. Files that aren't XML give no rows.
+    """(ord, file, device): a row for each device element, ord without gaps by file name and place in the file. Files that aren't XML give no rows.
 
-    Names alone are put in order, a row for each file; configurations stay where they are read.
+    Configurations are parsed once and written; names and places alone are put in order, by counts of ranges.
     """
     rows = spark.read.format("xml").options(rowTag="device", ignoreNamespace=True, mode="PERMISSIVE", pathGlobFilter="*.xml").schema(StructType.fromDDL(SCHEMA)).load(path)
-    named = rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("d"))
-    named = named.where("d.name IS NOT NULL OR d.config IS NOT NULL")
-    order = staged(named.select("file").distinct().orderBy("file").select(F.monotonically_increasing_id().alias("ord"), "file"), "files")
-    return named.join(order, "file").select("file", "d", "ord")
+    named = rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("d"))
+    return dense(named.where("d.name IS NOT NULL OR d.config IS NOT NULL"), ["file", "at"]).select("file", "d", "ord")
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +81,7 @@ def tables(devices: DataFrame, told: DataFrame | None = None) -> dict[str, DataF
         told = devices.select("file", F.lit(False).alias("ssh_in_text")).limit(0)
     devices = devices.join(told.groupBy("file").agg(F.bool_or("ssh_in_text").alias("ssh_in_text")), "file", "left")
     c = lambda path: F.col(f"d.config.{path}")
-    d = devices.withColumn("host", F.coalesce(F.nullif(F.trim(F.coalesce("d.config.hostname", "d.name")), F.lit("")), F.col("file")))
+    d = devices.withColumn("host", F.coalesce(F.nullif(F.trim(F.coalesce("d.config.hostname._VALUE", "d.name")), F.lit("")), F.col("file")))
     bgp = "router.bgp.`bgp-no-instance`"
     local_as = F.coalesce(c(f"{bgp}.id"), c("router.bgp.`as-no`"))
 
@@ -99,18 +108,24 @@ def tables(devices: DataFrame, told: DataFrame | None = None) -> dict[str, DataF
     ifs = interfaces()
     loop = ifs.where(F.lower("name").startswith("loopback") & F.col("ipv4").isNotNull()).groupBy("ord").agg(F.min_by("ipv4", "no").alias("ip")).select("ord", F.split_part("ip", F.lit("/"), F.lit(1)).alias("loopback"))
     vty = F.get(c("line.vty"), 0)
+    ned = F.lower(F.coalesce("d.device-type.cli.ned-id", "d.device-type.netconf.ned-id", F.lit("")))
+    space = lambda path: F.coalesce(c(f"{path}._xmlns"), F.lit(""))
+    xr_router = c("router").isNotNull() & (F.contains(space("router"), F.lit("xr")) | c(bgp).isNotNull())
+    ios_host = c("hostname").isNotNull() & ~F.contains(space("hostname"), F.lit("xr"))
+    vendor = F.when(F.contains(ned, F.lit("ios-xr")) | xr_router, "ios-xr").when(F.contains(ned, F.lit("ios-cli")) | ios_host, "ios").otherwise("ios-xr")
     base = d.select(
-        "ord", "file", "host", F.when(F.contains(F.coalesce(F.col("d.device-type.cli.ned-id"), F.lit("")), F.lit("ios-xr")) | c(bgp).isNotNull(), "ios-xr").otherwise("ios").alias("vendor"),
+        "ord", "file", "host", vendor.alias("vendor"),
         c("logging.buffered.severity-level").alias("log_severity"), F.when(vty["login"]["local"].isNotNull(), "local").alias("vty_login"), vty["transport"]["input"].alias("vty_transport"), c("version").alias("version"), c("clock.timezone.zone").alias("timezone"),
         (c("ssh").isNotNull() | F.col("d.ssh").isNotNull() | F.coalesce(F.col("d.port") == 22, F.lit(False)) | c("ip.ssh").isNotNull() | F.coalesce("ssh_in_text", F.lit(False))).alias("ssh_present"), c("ip.ssh.version").alias("ssh_version"),
         F.lit(None).cast("string").alias("aaa_method"), c("admin.aaa").isNotNull().alias("aaa_present"), (F.size(_list(c("mpls.ldp.interface"), "array<struct<name:string>>")) > 0).alias("ldp_enabled"), F.lit(None).cast("string").alias("ldp_router"), local_as.alias("local_as"),
         F.col("d.address").alias("mgmt_address"), F.col("d.port").alias("mgmt_port"), c("`config-register`").alias("config_register"), (F.lower(c("ip.http.server")) == "true").alias("http_enabled"),
-        (c("ip.cef").isNotNull() | c("ip.`cef-conf`.cef").isNotNull()).alias("cef_enabled"), (c("admin.`SNMP-COMMUNITY-MIB`").isNotNull() | c("admin.`SNMPv2-MIB`").isNotNull()).alias("snmp_present"),
+        c("ip.`forward-protocol`.nd").isNotNull().alias("forward_protocol_nd"), (c("ip.cef").isNotNull() | c("ip.`cef-conf`.cef").isNotNull()).alias("cef_enabled"), (c("admin.`SNMP-COMMUNITY-MIB`").isNotNull() | c("admin.`SNMPv2-MIB`").isNotNull()).alias("snmp_present"),
         *[c(f"admin.{part}_status_config.{level}").try_cast("int").alias(f"{part}_{level}") for part in ("disk", "memory") for level in ("minor", "severe", "critical")],
     ).join(loop, "ord", "left")
 
-    peer = "array<struct<vrf:string,peer:string,remote_as:string>>"
-    of = lambda a, vrf: _list(F.transform(a, lambda n: F.struct(vrf.alias("vrf"), n["id"].alias("peer"), n["remote-as"].alias("remote_as"))), peer)
+    peer = "array<struct<vrf:string,peer:string,remote_as:string,update_source:string>>"
+    first_child = lambda x: F.nullif(F.concat(*[F.regexp_extract(x, r"<(?:[\w-]+:)?([\w-]+)\b[^>]*?/?>\s*([^<]*?)\s*(?:<|$)", i) for i in (1, 2)]), F.lit(""))
+    of = lambda a, vrf: _list(F.transform(a, lambda n: F.struct(vrf.alias("vrf"), n["id"].alias("peer"), n["remote-as"].alias("remote_as"), first_child(n["update-source"]).alias("update_source"))), peer)
     none = F.lit(None).cast("string")
     vrf_peers = _list(F.flatten(F.transform(c(f"{bgp}.vrf"), lambda v: of(v["neighbor"], v["name"]))), peer)
     neighbors = d.select("ord", F.explode(F.concat(of(c(f"{bgp}.neighbor"), none), of(c("router.bgp.neighbor"), none), vrf_peers)).alias("n")).select("ord", "n.*")
