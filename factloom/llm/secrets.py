@@ -19,11 +19,10 @@ def _java(kind: str, pattern: str) -> str:
     return pattern.replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))") if kind in ANY_CASE else pattern
 
 
-def postings(text: Column) -> Column:
-    """The trigrams that some rule's query names and the lower-cased text holds."""
+def postings(low: Column) -> Column:
+    """The trigrams that some rule's query names and a text in lower case holds. low is named often: a column, not an expression."""
     grams = sorted({t for _, p, _, _ in RULES for group in trigram_query(p) for alternative in group for t in alternative})
-    low = ascii_lower(text)
-    return F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: low.contains(g))
+    return F.array_compact(F.array(*[F.when(low.contains(g), F.lit(g)) for g in grams]))
 
 
 def candidate(held: Column, k: int) -> Column:
@@ -48,13 +47,14 @@ def scan(docs: DataFrame, name: str = "spans") -> DataFrame:
     decided row by row, so nothing is shuffled and no key can be hot. Nulls are empty texts, rows keep their other
     columns (a column of that name is replaced) and their number, whatever their doc_id. An empty table gives no rows.
     """
-    text, held = F.coalesce(F.col("text"), F.lit("")), free_name("held", docs.columns)
+    text, low, held = F.coalesce(F.col("text"), F.lit("")), free_name("low", docs.columns), free_name("held", docs.columns)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for k, (_, pattern, _, _) in enumerate(RULES):
         run = candidate(F.col(held), k) if trigram_query(pattern) else text.rlike(_java("", pattern))
         parts.append(F.when(run, _found(text, k)).otherwise(none))
-    return docs.withColumn(held, postings(text)).withColumn(name, F.array_sort(F.concat(*parts))).drop(held)
+    posted = docs.withColumn(low, ascii_lower(text)).withColumn(held, postings(F.col(low))).drop(low)
+    return posted.withColumn(name, F.array_sort(F.concat(*parts))).drop(held)
 
 
 def masked(text: Column, spans: Column) -> Column:
