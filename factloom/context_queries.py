@@ -16,11 +16,11 @@ _COUNTS = facts.common_tables("devices", "interfaces", "neighbors", "areas") + "
 
 @query(_COUNTS + "SELECT x.host AS a, y.host AS b, x.n_if - y.n_if AS interfaces, x.n_bgp - y.n_bgp AS neighbors, x.local_as IS NOT DISTINCT FROM y.local_as AS same_as, x.areas = y.areas AS same_areas FROM k x JOIN k y ON y.ord = x.ord + 1")
 def device_compare(spark, sf):
-    """Each device with the next in file order."""
-    d = metrics.device_counts(facts.derived(spark, sf))
-    x, y = (d.select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns]) for s in "xy")
-    both = x.join(y, F.col("y_ord") == F.col("x_ord") + 1)
-    return both.select(F.col("x_host").alias("a"), F.col("y_host").alias("b"), (F.col("x_n_if") - F.col("y_n_if")).alias("interfaces"), (F.col("x_n_bgp") - F.col("y_n_bgp")).alias("neighbors"), F.col("x_local_as").eqNullSafe(F.col("y_local_as")).alias("same_as"), (F.col("x_areas") == F.col("y_areas")).alias("same_areas"))
+    """Each device with the next in file order, which has no gaps."""
+    t = facts.derived(spark, sf)
+    d = t["devices"].select("ord", "host")
+    pairs = d.select("ord", F.col("host").alias("a")).join(d.select((F.col("ord") - 1).alias("ord"), F.col("host").alias("b")), "ord")
+    return metrics.compared(t, pairs)
 
 
 @query(_COUNTS + "SELECT 'max_interfaces' AS condition, host FROM k WHERE n_if = (SELECT max(n_if) FROM k) UNION ALL SELECT 'min_interfaces', host FROM k WHERE n_if = (SELECT min(n_if) FROM k) UNION ALL SELECT 'ssh_enabled', host FROM devices WHERE ssh_present UNION ALL SELECT 'aaa_enabled', host FROM devices WHERE aaa_present UNION ALL SELECT 'bgp_configured', host FROM devices WHERE TRY_CAST(local_as AS BIGINT) > 0")

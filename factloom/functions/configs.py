@@ -32,6 +32,14 @@ def ping_loss(text: Column) -> Column:
     return F.when(sent > 0, 100.0 * (sent - got) / F.greatest(sent, F.lit(1))).otherwise(100.0)
 
 
+def ping_stats(text: Column) -> Column:
+    """struct(received, sent, loss, low, mean, high) of a reply: counts as in ping_loss, times from 'min/avg/max = a/b/c ms'; null where the text has none."""
+    pick = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("long")
+    short, long, times = r"\((\d{1,9})/(\d{1,9})\)", r"(\d{1,9}) packets transmitted, (\d{1,9}) (?:packets )?received", r"= (\d{1,9})/(\d{1,9})/(\d{1,9})"
+    got, sent = F.coalesce(pick(short, 1), pick(long, 2)), F.coalesce(pick(short, 2), pick(long, 1))
+    return F.struct(got.alias("received"), sent.alias("sent"), F.round(ping_loss(text), 2).alias("loss"), *[pick(times, i).alias(n) for i, n in ((1, "low"), (2, "mean"), (3, "high"))])
+
+
 def masked(key: Column, value: Column, mark: str = "***") -> Column:
     """The mark for values whose key speaks of a secret, whatever its case."""
     return F.when(F.rlike(F.lower(key), F.lit("|".join(SECRET_KEYS))), F.lit(mark)).otherwise(value)

@@ -75,3 +75,16 @@ def citations(text: Column) -> Column:
 def html_text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>", " ")
     return flatten_space(F.regexp_replace(out, r"<[^>]*>", " "))
+
+
+def equal_chunks(text: Column, size: int) -> Column:
+    """array<struct<chunk, text>>: one piece more than size goes into the text, of equal length, what is left over spread over the first; an empty text is one empty piece, null none."""
+    n = F.length(text)
+    k = F.floor(n / size) + 1
+    each, extra = F.floor(n / k), n % k
+
+    def piece(i: Column) -> Column:
+        begin, length = i * each + F.least(i, extra) + 1, each + (i < extra).cast("int")
+        return F.struct(i.alias("chunk"), F.substring(text, begin.cast("int"), length.cast("int")).alias("text"))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), piece)

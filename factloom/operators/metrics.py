@@ -9,6 +9,7 @@ and the answers carry it: that is how factloom.operators.scenarios evaluates man
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,6 +269,24 @@ def comparisons(t: Tables) -> DataFrame:
     })
 
 
+def compared(t: Tables, pairs: DataFrame) -> DataFrame:
+    """(a, b, interfaces, neighbors, same_as, same_areas) of pairs(a, b) of hosts: differences of counts, and whether AS and areas are alike. Hosts that aren't there give no row."""
+    d = device_counts(t)
+    x, y = (d.select(F.col("host").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n_if", "n_bgp", "local_as", "areas")]) for k in "ab")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+    return both.select("a", "b", (F.col("a_n_if") - F.col("b_n_if")).alias("interfaces"), (F.col("a_n_bgp") - F.col("b_n_bgp")).alias("neighbors"), F.col("a_local_as").eqNullSafe(F.col("b_local_as")).alias("same_as"), (F.col("a_areas") == F.col("b_areas")).alias("same_areas"))
+
+
+def snapshot(t: Tables) -> DataFrame:
+    """(kind, scope, value) above zero: what there is of devices, interfaces by status, neighbours, VRFs and areas, and what is amiss, globally and for each AS; a row each."""
+    count = lambda rows, kind: rows.agg(F.count("*").alias("value")).select(F.lit(kind).alias("kind"), F.lit("GLOBAL").alias("scope"), "value")
+    there = [count(t["devices"], "devices"), count(t["neighbors"], "neighbors"), count(t["vrfs"].select("vrf").distinct(), "vrfs"), count(t["areas"].select("area").where("area IS NOT NULL").distinct(), "areas"), count(t["devices"].select("local_as").where(~falsy(F.col("local_as"))).distinct(), "ases")]
+    status = t["interfaces"].groupBy(or_else(F.col("status"), "unknown").alias("scope")).agg(F.count("*").alias("value")).select(F.lit("interfaces").alias("kind"), "scope", "value")
+    amiss = [g(t).where(F.col("metric").isin("ssh_missing_count", "vrf_without_rt_count", "l2vpn_unidir_count", "l2vpn_mismatch_count", "ibgp_missing_pairs_count", "ibgp_under_peered_count")) for g in (flag_partitions, vrf_without_rt, l2vpn_metrics, full_mesh, under_peered)]
+    told = reduce(DataFrame.union, amiss).select(F.col("metric").alias("kind"), "scope", F.col("answer").cast("long").alias("value"))
+    return reduce(DataFrame.union, [*there, status, told]).where("value > 0")
+
+
 @_register("max_interface_device", "max_bgp_peer_device", "min_interface_device")
 def extremes(t: Tables) -> DataFrame:
     """The first device in file order wins; the smallest is of those with any."""

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom import context_queries, dataset_queries, link_queries, plan_queries, sample_queries, scenario_queries, trace_queries, tree_queries  # noqa: F401  (they add their queries)
-from factloom.functions import scores
+from factloom import context_queries, dataset_queries, link_queries, plan_queries, review_queries, sample_queries, scenario_queries, trace_queries, tree_queries  # noqa: F401  (they add their queries)
+from factloom.functions import configs, scores
 from factloom.functions import text as T
 from factloom.operators import evaluation, graph, metrics, relations, retrieval
 from factloom.plans import facts, metric_sql
 from factloom.registry import QUERIES, SQL, Query, table
 from factloom.registry import query as _query
+from factloom.sources.staging import staged
 
 
 def _metric_query(build) -> Query:
@@ -126,10 +127,9 @@ def _edges(spark, sf):
 
 
 def _strong(spark, sf):
-    """Nation edges with more lines than the mean edge."""
-    e = _edges(spark, sf)
-    mean = e.agg(F.avg("n")).first()[0]
-    return e.where(F.col("n") > F.lit(mean))
+    """Nation edges with more lines than the mean edge; edges are computed once and written."""
+    e = staged(_edges(spark, sf), "edges")
+    return e.join(F.broadcast(e.agg(F.avg("n").alias("mean"))), F.col("n") > F.col("mean")).drop("mean")  # the mean is one row
 
 
 @_query(_EDGES + "SELECT a || '<->' || b AS pair, n FROM top")
@@ -320,14 +320,11 @@ def budget_prefix(spark, sf):
 # ---- text, evaluation, retrieval
 
 
-@_query("SELECT doc_id, CAST(length(text) // 500 + 1 AS BIGINT) AS n_chunks, i AS chunk, length(substr(text, CAST(i * size + least(i, extra) + 1 AS BIGINT), CAST(size + CASE WHEN i < extra THEN 1 ELSE 0 END AS BIGINT))) AS n FROM (SELECT doc_id, text, length(text) // (length(text) // 500 + 1) AS size, length(text) % (length(text) // 500 + 1) AS extra, unnest(range(0, length(text) // 500 + 1)) AS i FROM documents)")
+@_query("SELECT doc_id, CAST(length(text) // 500 + 1 AS BIGINT) AS n_chunks, i AS chunk, sha256(substr(text, CAST(i * size + least(i, extra) + 1 AS BIGINT), CAST(size + CASE WHEN i < extra THEN 1 ELSE 0 END AS BIGINT))) AS sha256 FROM (SELECT doc_id, text, length(text) // (length(text) // 500 + 1) AS size, length(text) % (length(text) // 500 + 1) AS extra, unnest(range(0, length(text) // 500 + 1)) AS i FROM documents)")
 def chunk_equal(spark, sf):
-    """Chunks of equal length: as many as 500 goes into the text and one, the rest spread over the first."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.length("text").alias("n")).withColumn("k", F.floor(F.col("n") / 500) + 1).withColumns({"size": F.floor(F.col("n") / F.col("k")), "extra": F.col("n") % F.col("k")})
-    c = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("chunk"))
-    begin = F.col("chunk") * F.col("size") + F.least("chunk", "extra") + 1
-    piece = F.substring("text", begin.cast("int"), (F.col("size") + (F.col("chunk") < F.col("extra")).cast("int")).cast("int"))
-    return c.select("doc_id", F.col("k").alias("n_chunks"), "chunk", F.length(piece).cast("long").alias("n"))
+    """Pieces of equal length, as many as 500 goes into the text and one."""
+    d = table(spark, sf, "documents").select("doc_id", T.equal_chunks(F.col("text"), 500).alias("c"))
+    return d.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.explode("c").alias("c")).select("doc_id", "n_chunks", "c.chunk", F.sha2("c.text", 256).alias("sha256"))
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.' || 'k') AS k, length(props) AS n FROM events")
@@ -335,12 +332,14 @@ def json_prop_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
 
 
-@_query("SELECT event_id, 5 - event_id % 6 AS received, 5 AS sent, round((event_id % 6) * 20.0::DOUBLE, 2) AS loss, event_id % 9 AS low, event_id % 9 + 1 AS mean, event_id % 9 + 4 AS high FROM events WHERE event_id % 6 < 6")
+@_query("WITH e AS (SELECT user_id, count(*) AS sent, count(*) FILTER (value > 20) AS received, CAST(floor(min(value)) AS BIGINT) AS low, CAST(floor(avg(event_id % 100)) AS BIGINT) AS mean, CAST(floor(max(value)) AS BIGINT) AS high FROM events GROUP BY 1) SELECT user_id, received, sent, round(100.0 * (sent - received) / sent, 2) AS loss, low, mean, high FROM e")
 def ping_parse(spark, sf):
-    line = F.format_string("Success rate is %d percent (%d/5), round-trip min/avg/max = %d/%d/%d ms", 100 - F.col("event_id") % 6 * 20, 5 - F.col("event_id") % 6, F.col("event_id") % 9, F.col("event_id") % 9 + 1, F.col("event_id") % 9 + 4)
-    e = table(spark, sf, "events").select("event_id", line.alias("t"))
-    part = lambda i: F.regexp_extract("t", r"\((\d+)/(\d+)\).*= (\d+)/(\d+)/(\d+) ms", i).cast("long")
-    return e.select("event_id", part(1).alias("received"), part(2).cast("int").alias("sent"), F.round(100.0 * (part(2) - part(1)) / part(2), 2).alias("loss"), part(3).alias("low"), part(4).alias("mean"), part(5).alias("high"))
+    """Each user's events told as a reply to a ping, in either form, and read again."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("sent"), F.count_if(F.col("value") > 20).alias("received"), F.floor(F.min("value")).alias("low"), F.floor(F.avg(F.col("event_id") % 100)).alias("mean"), F.floor(F.max("value")).alias("high"))
+    times = F.concat(F.lit("min/avg/max = "), F.concat_ws("/", *[F.col(c).cast("string") for c in ("low", "mean", "high")]), F.lit(" ms"))
+    short = F.concat(F.lit("Success rate is 0 percent ("), F.col("received"), F.lit("/"), F.col("sent"), F.lit("), round-trip "), times)
+    long = F.concat(F.col("sent"), F.lit(" packets transmitted, "), F.col("received"), F.lit(" received, rtt "), times)
+    return e.select("user_id", configs.ping_stats(F.when(F.col("user_id") % 2 == 0, short).otherwise(long)).alias("p")).select("user_id", "p.*")
 
 
 _TAGGED = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[GROUND_TRUTH]' || chr(10) || text || chr(10) || '[EXPLANATION]' || chr(10) || role ELSE text END AS t FROM conversations"
@@ -443,11 +442,14 @@ def log_stats(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("chars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@_query("SELECT k, v FROM (SELECT 'customers' AS k, count(*) AS v FROM customer UNION ALL SELECT 'debtors', count(*) FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'nameless', count(*) FROM customer WHERE c_name IS NULL) WHERE v > 0")
+_AMISS = " UNION ALL ".join(f"SELECT metric AS kind, scope, CAST(answer AS BIGINT) AS value FROM ({metric_sql._BODY[g]}) WHERE metric IN ('ssh_missing_count', 'vrf_without_rt_count', 'l2vpn_unidir_count', 'l2vpn_mismatch_count', 'ibgp_missing_pairs_count', 'ibgp_under_peered_count')" for g in ("flag_partitions", "vrf_without_rt", "l2vpn_metrics", "full_mesh", "under_peered"))
+
+
+@_query(facts.common_tables(*facts.TABLES) + f"""SELECT kind, scope, value FROM (SELECT 'devices' AS kind, 'GLOBAL' AS scope, count(*) AS value FROM devices UNION ALL SELECT 'neighbors', 'GLOBAL', count(*) FROM neighbors UNION ALL SELECT 'vrfs', 'GLOBAL', count(DISTINCT vrf) FROM vrfs
+    UNION ALL SELECT 'areas', 'GLOBAL', count(DISTINCT area) FROM areas UNION ALL SELECT 'ases', 'GLOBAL', count(DISTINCT nullif(local_as, '')) FROM devices UNION ALL SELECT 'interfaces', coalesce(nullif(status, ''), 'unknown'), count(*) FROM interfaces GROUP BY 2 UNION ALL {_AMISS}) WHERE value > 0""")
 def summary_grounding(spark, sf):
-    """Global counts, zero entries left out."""
-    one = table(spark, sf, "customer").agg(F.count("*").alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("debtors"), F.count_if(F.col("c_name").isNull()).alias("nameless"))
-    return one.select(F.explode(F.map_filter(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c))]), lambda _, v: v > 0)).alias("k", "v"))
+    """What the facts have, and what is amiss in them."""
+    return metrics.snapshot(facts.derived(spark, sf))
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
