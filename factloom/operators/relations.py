@@ -87,3 +87,20 @@ def within_budget(df: DataFrame, keys: list[str], order: list[Column | str], siz
     """Rows before the first that would exceed the budget, within each key."""
     upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("running", upto).where(F.col("running") <= budget)
+
+
+def seeded_order(ids: list[str], seed: int = 42) -> Column:
+    """What a seeded shuffle orders by: the MD5 of seed and ids, as text; the same in any engine, for any partitioning."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
+
+
+def shuffled_split(df: DataFrame, key: str, ids: list[str], seed: int = 42) -> DataFrame:
+    """split_by_position after a seeded shuffle of each key's rows; ids tell rows apart."""
+    return split_by_position(df.withColumn("_order", seeded_order(ids, seed)), key, ["_order", *ids]).drop("_order")
+
+
+def sampled_share(df: DataFrame, ids: list[str], ratio: float, seed: int = 42, key: str | None = None) -> DataFrame:
+    """max(1, n * ratio) rows of each key, or of all, the first of a seeded shuffle; rows are counted by ranges, none is put whole in order."""
+    given = df.withColumn("_order", seeded_order(ids, seed)).withColumn("_stratum", F.col(key) if key else F.lit(1))
+    rows = numbered(given, "_stratum", ["_order", *ids])
+    return rows.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(ratio)))).drop("_order", "_stratum", "place", "total")

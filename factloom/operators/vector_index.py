@@ -196,6 +196,26 @@ def candidates(index: Index, queries: DataFrame, probes: int, keep: int) -> Data
     return _first(_tiled(index.codes, _probed(index, queries, probes), index.cells, score, keep), keep)
 
 
+def probes_for(index: Index, vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.95, sample: int = 100, seed: int = 42) -> int:
+    """How many cells a query has to probe so that on average the share least of its k true neighbours lies in them, by a seeded sample of at most that many queries.
+
+    True neighbours come from exact search; each has the rank that its cell takes among the query's cells, and the
+    answer is the smallest number of cells that holds enough of them.
+    """
+    some = staged(queries.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(sample), "sample")
+    truth = exact(vectors, some, k).select("query_id", "vec_id")
+    order = Window.partitionBy("query_id").orderBy("at")
+    ranked = _probed(index, some, len(index.centers)).select("query_id", "cell", F.monotonically_increasing_id().alias("at")).withColumn("place", F.row_number().over(order))
+    met = truth.join(index.codes.select("vec_id", "cell"), "vec_id").join(ranked, ["query_id", "cell"])
+    counts = {r.place: r.n for r in met.groupBy("place").agg(F.count("*").alias("n")).collect()}  # a row for each cell at most
+    found, total = 0, sum(counts.values())
+    for place in range(1, len(index.centers) + 1):
+        found += counts.get(place, 0)
+        if found >= least * total:
+            return place
+    return len(index.centers)
+
+
 def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int, probes: int = 8, fallback: DataFrame | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): about the k nearest others of queries(query_id, embedding), with exact scores.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom import context_queries, dataset_queries, link_queries, plan_queries, review_queries, sample_queries, scenario_queries, trace_queries, tree_queries  # noqa: F401  (they add their queries)
+from factloom import composite_queries, context_queries, dataset_queries, link_queries, plan_queries, review_queries, sample_queries, scenario_queries, trace_queries, tree_queries  # noqa: F401  (they add their queries)
 from factloom.functions import configs, scores
 from factloom.functions import text as T
 from factloom.operators import evaluation, graph, metrics, relations, retrieval

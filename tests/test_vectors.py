@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from factloom import link_queries
 from factloom.operators import vector_index
 
 
@@ -75,3 +76,15 @@ def test_empty_tables(spark):
     index = vector_index.build(none, vector_index.fit(none))
     assert vector_index.search(index, none, asked, 3).collect() == [] and vector_index.exact(none, asked, 3).collect() == []
     assert vector_index.exact(v, asked.where("false"), 3).collect() == []
+
+
+def test_query_reaches_the_recall_it_asks_for(spark):
+    sf = "/root/testdata/sf0.01"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    m = np.array([r.embedding for r in v.orderBy("vec_id").collect()], np.float32).astype(float)
+    ids = [r.vec_id for r in v.orderBy("vec_id").collect()]
+    assert ids == list(range(len(m)))
+    truth = {q: {i for i, _ in found} for q, found in plain(m, range(0, len(m), 50), 10).items()}
+    got = rows(link_queries.vector_topk_index(spark, sf))
+    assert got.keys() == truth.keys() and all(len(f) == 10 for f in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & truth[q]) / 10 for q in truth]) >= 0.9
