@@ -76,14 +76,34 @@ class Items:
         self.all = np.array(sorted(self.of), np.uint64)
         self.short = sorted({int(n) for n in self.sizes if 0 < n < SHINGLE_WORDS})
 
+    def table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the items of so many words: these items, and for each byte of a fingerprint and each value of it the set of those, as bits, that differ from it in one bit at most."""
+        tables = self.__dict__.setdefault("tables", {})  # made in the worker where they are first needed
+        if size not in tables:
+            own = np.flatnonzero(self.sizes == size)
+            prints = np.ascontiguousarray(self.prints[own]).view(np.uint8)
+            near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= 1
+            tables[size] = own, np.stack([np.packbits(near[:, prints[:, p]], axis=1) for p in range(prints.shape[1])])
+        return tables[size]
+
     def candidates(self, window: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """(window number, position in items) of all pairs whose fingerprints are within RADIUS."""
-        prints, met = self.prints[items], np.zeros((len(window), len(items)), bool)
-        for b in range(BLOCKS):
-            met |= np.bitwise_count(window[:, b, None] ^ prints[None, :, b]) <= RADIUS // BLOCKS
-        w, i = np.nonzero(met)
-        far = np.bitwise_count(window[w] ^ prints[i]).sum(axis=1, dtype=np.int64)
-        return np.stack([w[far <= RADIUS], i[far <= RADIUS]])
+        """(window number, position in items) of all pairs whose fingerprints are within RADIUS; items are ascending and of one size.
+
+        Of two fingerprints within RADIUS some block differs in RADIUS // BLOCKS bits at most, and some byte of that
+        block in a quarter of those, one. So the windows' bytes are looked up in the items' tables, and only what is
+        found there is compared, block by block and then as a whole.
+        """
+        own, table = self.table(int(self.sizes[items[0]]))
+        values = np.ascontiguousarray(window).view(np.uint8)
+        met = np.zeros((len(window), table.shape[2]), np.uint8)
+        for p in range(len(table)):
+            met |= table[p][values[:, p]]
+        met &= np.packbits(np.isin(own, items))
+        w, i = np.nonzero(np.unpackbits(met, axis=1, count=len(own)))
+        i = np.searchsorted(items, own[i])
+        apart = np.bitwise_count(window[w] ^ self.prints[items[i]])
+        close = (apart <= RADIUS // BLOCKS).any(axis=1) & (apart.sum(axis=1, dtype=np.int64) <= RADIUS)
+        return np.stack([w[close], i[close]])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

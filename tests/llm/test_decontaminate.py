@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from factloom.llm import decontaminate, queries
 
 
@@ -69,3 +71,16 @@ def test_several_passes_find_the_same(spark, monkeypatch):
     whole = sorted(queries.op3_decontaminate(spark, sf).collect())
     monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 7)
     assert whole and sorted(queries.op3_decontaminate(spark, sf).collect()) == whole
+
+
+def test_tables_find_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(300)]
+    items = decontaminate.Items([(i, " ".join(rng.choice(words, 30 if i % 3 else 12))) for i in range(90)])
+    for size in (12, 30):
+        own = np.flatnonzero(items.sizes == size)[::2]
+        flips = [np.packbits(rng.random((1, decontaminate.BITS)) < p, axis=1).view(np.uint32)[0] for p in (0, 0.1, 0.2, 0.24, 0.25, 0.5) for _ in range(20)]
+        window = np.array([items.prints[rng.choice(own)] ^ f for f in flips])
+        far = np.bitwise_count(window[:, None] ^ items.prints[own][None]).sum(2)
+        assert sorted(map(tuple, items.candidates(window, own).T.tolist())) == sorted(map(tuple, np.argwhere(far <= decontaminate.RADIUS).tolist()))
+        assert 0 < (far <= decontaminate.RADIUS).sum() < far.size
