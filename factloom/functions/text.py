@@ -88,3 +88,23 @@ def equal_chunks(text: Column, size: int) -> Column:
         return F.struct(i.alias("chunk"), F.substring(text, begin.cast("int"), length.cast("int")).alias("text"))
 
     return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), piece)
+
+
+def plain_text(json: Column) -> Column:
+    """JSON as plain text: entries of an object as `k: v`, items of a list, joined by ", "; a null, missing or empty value is empty; other text as it stands."""
+    shape = F.coalesce(F.schema_of_variant(F.try_parse_json(json)), F.lit(""))
+    entries = F.map_entries(F.from_json(json, "map<string,string>"))
+    told = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), ", ")
+    items = F.array_join(F.transform(F.from_json(json, "array<string>"), lambda x: F.coalesce(x, F.lit(""))), ", ")
+    scalar = F.coalesce(F.try_variant_get(F.try_parse_json(json), "$", "string"), F.lit(""))
+    return F.when(shape.startswith("OBJECT"), told).when(shape.startswith("ARRAY"), items).when(shape == "", F.coalesce(json, F.lit(""))).otherwise(scalar)
+
+
+def raw_answer(answer_type: Column, answer: Column) -> Column:
+    """An answer's text as JSON of its type: an array of a set or list, an object of a map, a number, true or false; other text as a JSON string, null as null."""
+    at, items = F.lower(F.coalesce(answer_type, F.lit(""))), F.filter(F.split(answer, ", "), lambda x: x != "")
+    pairs = F.map_from_entries(F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.locate("=", x) + F.lit(1), F.length(x)).alias("v"))))
+    whole = F.to_json(F.array(answer))
+    text = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    simple = F.when(at.isin("numeric", "number") & answer.try_cast("double").isNotNull(), answer).when((at == "boolean") & F.lower(answer).isin("true", "false"), F.lower(answer)).otherwise(text)
+    return F.when(answer.isNull(), "null").when(at.isin("set", "list"), F.to_json(items)).when(at.isin("map", "dict"), F.to_json(pairs)).otherwise(simple)

@@ -117,3 +117,15 @@ def csv_rows(items: DataFrame, columns: tuple[str, ...] = CSV_COLUMNS) -> DataFr
 
 def write_csv(items: DataFrame, path: str, columns: tuple[str, ...] = CSV_COLUMNS) -> None:
     csv_rows(items, columns).write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+
+
+def write_texts(texts: DataFrame, path: str, folders: list[str], text: str = "text", order: list[str] | None = None) -> None:
+    """A text file or more in a folder for each value of folders, as device=x/section=y; texts of one folder are together, in order."""
+    spread = texts.repartition(*folders).sortWithinPartitions(*folders, *(order or []))
+    spread.select(*folders, F.coalesce(text, F.lit("")).alias("text")).write.partitionBy(*folders).text(path)
+
+
+def write_report(report: DataFrame, path: str, **metadata: str) -> None:
+    """A report's rows as JSON lines, each with the metadata it was made under; reports are a row for each group, so one file holds them."""
+    told = F.struct(*[F.lit(str(v)).alias(k) for k, v in sorted(metadata.items())]) if metadata else F.lit(None)
+    report.withColumn("metadata", told).coalesce(1).write.json(path)
