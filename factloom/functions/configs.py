@@ -83,3 +83,14 @@ def complexity(devices: Column, protocols: Column, vrfs: Column, links: Column)
     """struct<score, band> of a network by weighted counts."""
     score = 0.3 * devices + 0.2 * protocols + 0.3 * vrfs + 0.2 * links
     return F.struct(score.alias("score"), F.when(score < 10, "simple").when(score < 30, "medium").otherwise("complex").alias("band"))
+
+
+#: What a line of the shell around an XML answer holds.
+XML_PROMPTS = ("admin@ncs#", "admin@ncs%")
+
+
+def clean_xml(raw: Column) -> Column:
+    """An XML answer without the shell's prompts and show commands, from the first line that begins with a tag; nothing if there is none, null for null."""
+    lines = F.filter(F.split(raw, r"\r?\n"), lambda x: ~F.rlike(x, F.lit("|".join(XML_PROMPTS))) & ~F.startswith(F.ltrim(x), F.lit("show ")))
+    first = F.array_position(F.transform(lines, lambda x: F.startswith(F.ltrim(x), F.lit("<"))), True)
+    return F.when(raw.isNull(), None).when(first > 0, F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)), "\n")).otherwise("")

@@ -99,6 +99,29 @@ def section_texts(leaves: DataFrame, depth: int = 1) -> DataFrame:
     return rows.groupBy("file", "section").agg(F.array_sort(F.collect_list("r")).alias("l")).select("file", "section", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
+#: Sections that come first, in this order, and those that are split below their name.
+SECTION_ORDER = ("hostname", "tailfned", "version", "service", "enable", "clock", "ip", "multilink", "username", "redundancy", "control-plane", "config-register", "logging", "router", "interface", "line")
+SPLIT_SECTIONS = ("interface", "line")
+
+
+def section_documents(leaves: DataFrame, devices: DataFrame, order: tuple[str, ...] = SECTION_ORDER, split: tuple[str, ...] = SPLIT_SECTIONS) -> DataFrame:
+    """(file, place, section, text): a document for each section of each file's leaves(file, no, path, value), a split one for each of its instances.
+
+    Texts have a header with the section, devices(file, device_name) and the file, then lines `path: value` in order.
+    place, from 0, follows the order list, then the first leaf. Leaves of a file without a device name bear the file's.
+    """
+    top = F.split_part("path", F.lit("/"), F.lit(1))
+    bare = F.regexp_replace(top, r"\[.*$", "")
+    section = F.when(bare.isin(*split), F.array_join(F.slice(F.split("path", "/"), 1, 2), "_")).otherwise(top)
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), bare) if order else F.lit(0)
+    rows = leaves.where("path <> ''").select("file", section.alias("section"), F.when(rank == 0, len(order) + 1).otherwise(rank).alias("rank"), "no", F.concat("path", F.lit(": "), F.coalesce("value", F.lit(""))).alias("line"))
+    made = rows.groupBy("file", "section").agg(F.min("rank").alias("rank"), F.min("no").alias("first"), F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("rank", "first")) - 1
+    named = made.withColumn("place", place).join(devices.select("file", "device_name"), "file", "left")
+    head = F.concat(F.lit("[METADATA]\nsection: "), F.col("section"), F.lit("\ndevice_name: "), F.coalesce("device_name", "file"), F.lit("\nsource: "), F.col("file"), F.lit("\n\n[CONTENT]\n[SECTION] "), F.col("section"), F.lit("\n"))
+    return named.select("file", F.col("place").cast("long").alias("place"), "section", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
 def filled_budget(items: DataFrame, budget: DataFrame) -> DataFrame:
     """(category, missing): what budget(category, need) asks for and items(category) lack; nothing for categories with enough."""
     have = items.groupBy("category").agg(F.count("*").alias("n"))

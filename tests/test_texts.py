@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import configs
 from factloom.functions import text as T
+from factloom.operators import contexts
 from factloom.sources import datasets
 
 
@@ -41,3 +42,21 @@ def test_texts_by_folder_and_reports(spark, tmp_path):
     datasets.write_report(rows.groupBy("device").count(), str(tmp_path / "r"), seed=42, k=5)
     lines = [json.loads(x) for f in (tmp_path / "r").glob("*.json") for x in f.read_text().splitlines()]
     assert {x["device"] for x in lines} == {"r1", "r2"} and all(x["metadata"] == {"k": "5", "seed": "42"} for x in lines)
+
+
+def test_clean_xml(spark):
+    raw = ["admin@ncs# show x\nshow running\n\n<config>\n  admin@ncs% \n  <a/>\n  show y\n</config>", "nothing", None, "  <a>\r\n b"]
+    assert values(spark, [(t,) for t in raw], "t string", configs.clean_xml(F.col("t"))) == ["<config>\n  <a/>\n</config>", "", None, "  <a>\n b"]
+
+
+def test_section_documents(spark):
+    xml = "<c><router><id>1</id></router><zeta><q>9</q></zeta><interface><Loopback><name>0</name></Loopback><Ethernet><name>1</name><password>p</password></Ethernet><Ethernet><name>2</name></Ethernet></interface><hostname>h</hostname></c>"
+    leaves = contexts.flattened(spark.createDataFrame([("a.xml", xml), ("b.xml", "<c><version>7</version></c>")], "file string, text string"))
+    # the paths begin below the root element
+    first = leaves.withColumn("path", F.regexp_replace("path", r"^c/", ""))
+    got = contexts.section_documents(first, spark.createDataFrame([("a.xml", "edge")], "file string, device_name string")).orderBy("file", "place").collect()
+    own = [r for r in got if r.file == "a.xml"]
+    assert own[0].section == "hostname" and own[1].section == "router" and own[-1].section == "zeta" and [r.place for r in own] == list(range(len(own)))
+    assert sum(r.section.startswith("interface_") for r in own) == 3 and not any("password: p" in r.text for r in own)
+    assert own[1].text == "[METADATA]\nsection: router\ndevice_name: edge\nsource: a.xml\n\n[CONTENT]\n[SECTION] router\nrouter/id: 1\n"
+    assert [r.text.split("\n")[2] for r in got if r.file == "b.xml"] == ["device_name: b.xml"]
