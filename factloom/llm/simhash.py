@@ -224,6 +224,15 @@ def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int], entered
     return sets.select("sid", "shingles").mapInArrow(run, "token long, sid long, size int, place int")
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda s, v: s + v)
+
+
+def _coarse(parts: Column) -> Column:
+    """The counts of a set's shingles in a quarter as many parts: short enough to travel with each row of a shingle's group."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS // 4 - 1)), lambda i: _total(F.slice(parts, 4 * i + 1, F.lit(4))).cast("smallint"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of sids whose sets reach the similarity.
 
@@ -239,9 +248,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def reached(shared: Column, size_x: Column, size_y: Column) -> Column:
         return shared >= F.lit(similarity) * (size_x + size_y - shared)
 
-    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-    bound = total(F.zip_with("x", "y", lambda p, q: F.least(p, q)))
-    likely = staged(both(pairs, sets, "parts").where(reached(bound, total(F.col("x")), total(F.col("y")))).select("a", "b"), "likely")
+    bound = _total(F.zip_with("x", "y", lambda p, q: F.least(p, q)))
+    likely = staged(both(pairs, sets, "parts").where(reached(bound, _total(F.col("x")), _total(F.col("y")))).select("a", "b"), "likely")
     ends = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
     needed = staged(sets.select("sid", "shingles").join(ends, "sid", "left_semi"), "needed")
     shared = F.size(F.array_intersect("x", "y"))
@@ -284,7 +292,8 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     unstaged(several)
     edges = close_links(sets, similarity)
     share = similarity / (1 + similarity)
-    one = F.struct("size", "sid", "place", "component")
+    one = F.struct("size", "sid", "place", "component", "coarse")
+    coarse = staged(sets.select("sid", _coarse(F.col("parts")).alias("coarse")), "coarse")
     short = F.col("place") < F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - F.lit(1e-6)) + 1
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -298,24 +307,27 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         return found
 
     def candidates(met: DataFrame) -> DataFrame:
-        """Pairs of the structs x and y, x the smaller; no more can be shared than what follows the first common shingle, itself included."""
+        """Pairs of the structs x and y, x the smaller; no more can be shared than what follows the first common shingle, itself included, nor than the lesser counts of each part of the hashes' range."""
         both = F.col("x.size") + F.col("y.size")
         most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
         found = met.where("x.component <> y.component and (x.size < y.size or (x.size = y.size and x.sid < y.sid))")
         found = found.where((most + 1e-6 >= F.lit(share) * both) & (F.col("x.size") + 1e-6 >= F.lit(similarity) * F.col("y.size")))
+        bound = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+        found = found.where(bound + 1e-6 >= F.lit(share) * both)
         return found.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
 
     for smallest in (True, False):
         rows = labelled(rows)
         if rows.isEmpty():
             break
-        xs, ys = rows.where(short).select("token", one.alias("x")), rows.select("token", one.alias("y"))
+        marked = rows.join(coarse, "sid")
+        xs, ys = marked.where(short).select("token", one.alias("x")), marked.select("token", one.alias("y"))
         if smallest:
             xs = xs.groupBy("token").agg(F.min("x").alias("x"))
         found = _similar(candidates(xs.join(ys, "token")), sets, similarity)
         before, edges = edges, staged(edges.union(found), "edges")
         unstaged(before, found)
-    unstaged(rows)
+    unstaged(rows, coarse)
     return edges
 
 
