@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Phrases that always count, and their labels.
-BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: Label, keyword, names as words; a name's parts in brackets may be left out. More specific names come first.
 NAMES = (

@@ -85,3 +85,16 @@ def test_every_sentence_has_its_label(spark):
         assert keyword in plain(words).split() and got[i].score > 0 and got[i].labels, words
         assert got[i].n_base or tuple(got[i])[1:] == brute(rows[i][1]), words
     assert sum(label in got[i].labels.split(",") for i, (label, *_) in enumerate(license_rules.SENTENCES)) >= 90
+
+
+def test_base_phrases_are_those_of_the_contract(spark):
+    """Phrases and places by hand; every ASCII character and some beyond between and inside words."""
+    rows = [(0, "under the MIT license"), (1, "read the mit license, under the Mit-LICENSE"), (2, "the mit license"), (3, "Apache License; version 2.0, CC BY-NC CC/BY NC 4")]
+    signs = [chr(i) for i in range(1, 0x120)] + ["\u2028", "\u212a", "\u00a0", "\U0001f600", "\ud7ff", "\uffff"]
+    rows += [(10 + i, f"x{c}under{c}the{c}mit{c}license{c}cc by nc{c}") for i, c in enumerate(signs)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(got[i])[1:6] for i in range(4)] == [(4, 1, 0, 0, "mit"), (8, 1, 4, 4, "mit"), (3, 0, None, None, ""), (12, 3, 0, 8, "apache-2,cc-by-nc")]
+    for i, text in rows[4:]:
+        w = words(text)
+        found = sorted((k, label) for p, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")) for v in [p.split()] for k in range(len(w)) if w[k : k + len(v)] == v)
+        assert tuple(got[i])[1:6] == (len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({label for _, label in found}))), repr(text)
