@@ -41,3 +41,22 @@ def test_matches_sql(spark, con, name):
 def test_entry(spark):
     rows = queries.entry(spark, SF).collect()
     assert rows and sum(r.most for r in rows) == 1
+
+
+def test_pairs_of_suppliers_are_derived_by_many_tasks(spark, monkeypatch):
+    from factloom.plans import facts
+
+    sf = "/root/testdata/sf0.01"
+    whole = facts.derived(spark, sf)
+    monkeypatch.setattr(facts, "_PAIRS", 60)
+    spread = facts.derived(spark, sf)
+    for name in ("neighbors", "xconnects"):
+        assert sorted(map(repr, spread[name].collect())) == sorted(map(repr, whole[name].collect()))
+        used = spread[name].select(spark_partition()).distinct().count()
+        assert used > whole[name].select(spark_partition()).distinct().count() and used > 2
+
+
+def spark_partition():
+    from pyspark.sql import functions as F
+
+    return F.spark_partition_id()
