@@ -62,3 +62,14 @@ def test_reports(spark):
     a = spark.createDataFrame([(1, "x", "y"), (2, "y", "y")], "qid int, prediction string, truth string")
     b = spark.createDataFrame([(1, "y", "y"), (2, "z", "y")], "qid int, prediction string, truth string")
     assert {r.qid: r.change for r in evaluation.before_after(a, b).collect()} == {1: "better", 2: "worse"}
+
+
+def test_ngrams_of_long_texts_take_time_that_grows_with_their_length(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    start = time.perf_counter()
+    rows = spark.createDataFrame([(text, text + " more"), ("a b", "a"), (None, None), ("a b a b", "b a")], "p string, t string")
+    got = [tuple(r) for r in rows.select(scores.rouge_n(F.col("p"), F.col("t"), 1), scores.rouge_n(F.col("p"), F.col("t"), 2)).collect()]
+    assert got == [(40_000 / 40_001, 39_998 / 39_999), (2 / 3, 0.0), (0.0, 0.0), (1.0, 2 / 3)]
+    assert time.perf_counter() - start < 20
