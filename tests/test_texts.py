@@ -1,6 +1,7 @@
 """Plain and raw answers, pieces of equal length, replies to pings, and texts in folders."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,11 @@ def test_section_documents(spark):
     assert sum(r.section.startswith("interface_") for r in own) == 3 and not any("password: p" in r.text for r in own)
     assert own[1].text == "[METADATA]\nsection: router\ndevice_name: edge\nsource: a.xml\n\n[CONTENT]\n[SECTION] router\nrouter/id: 1\n"
     assert [r.text.split("\n")[2] for r in got if r.file == "b.xml"] == ["device_name: b.xml"]
+
+
+def test_long_texts_are_cut_in_time_that_grows_with_their_length(spark):
+    text = ("añ😀\n" * 100_000)[:-1]
+    start = time.perf_counter()
+    got = values(spark, [(text,)], "t string", T.equal_chunks(F.col("t"), 10))[0]
+    assert [p["chunk"] for p in got] == list(range(len(text) // 10 + 1)) and "".join(p["text"] for p in got) == text and {len(p["text"]) for p in got} == {9, 10}
+    assert time.perf_counter() - start < 20
