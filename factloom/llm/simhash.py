@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,10 +158,12 @@ def _chained(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 #: Parts of the hashes' range that a set's shingles are counted in.
 PARTS = 256
+#: Numbers that hold a bit for each part.
+MARKS = PARTS // 64
 
 
 def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, sid, fp, shingles, parts): the sorted hashes of the distinct shingles of each row with an id and words, their hash, their SimHash, and how many lie in each part of the range."""
+    """(doc_id, key, sid, fp, shingles, parts, marks): the sorted hashes of the distinct shingles of each row with an id and words, their hash, their SimHash, how many lie in each part of the range, and the parities of these counts, 64 to a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +184,21 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
                     fps.append(np.packbits(2 * np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(own)))
             long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * PARTS, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), batch["key"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists, counts]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "sid", "fp", "shingles", "parts"])
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * PARTS, pa.int32()), pa.array(flat))
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * MARKS, pa.int32()), long(np.packbits((flat & 1).astype(np.uint8).reshape(-1, 64), axis=1)))
+            columns = [batch["doc_id"].take(pa.array(kept, pa.int64())), batch["key"].take(pa.array(kept, pa.int64())), long(np.array(sids, np.uint64)), long(np.array(fps, np.uint8).reshape(-1, 8)), lists, counts, marks]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "sid", "fp", "shingles", "parts", "marks"])
 
-    return texts(docs).where("doc_id is not null").withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, sid long, fp long, shingles array<long>, parts array<int>")
+    return texts(docs).where("doc_id is not null").withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, sid long, fp long, shingles array<long>, parts array<int>, marks array<long>")
 
 
 #: A shingle that more prefixes hold goes to the end of the order; so many such shingles are sent to the tasks at most.
 OFTEN, MOST_OFTEN = 64, 500_000
 
+#: Rounds before all that are still apart are tested, and members of a shingle's group that each round draws to test the others against.
+ROUNDS, DRAWN = 2, 32
+
 
 def _prefixes(sets: DataFrame, similarity: float, often: dict[int, int], entered: bool = False) -> DataFrame:
     """(token, sid, size, place): of each set the first shingles in the order (how often, hash) that any similar set must share one of.
@@ -228,9 +236,9 @@ def _total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0), lambda s, v: s + v)
 
 
-def _coarse(parts: Column) -> Column:
-    """The counts of a set's shingles in a quarter as many parts: short enough to travel with each row of a shingle's group."""
-    return F.transform(F.sequence(F.lit(0), F.lit(PARTS // 4 - 1)), lambda i: _total(F.slice(parts, 4 * i + 1, F.lit(4))).cast("smallint"))
+def _apart(x: str, y: str) -> Column:
+    """Shingles that one of two sets holds alone, at least: a part whose counts differ in parity has one. Short enough to travel with each row of a shingle's group."""
+    return reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(MARKS)])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -274,9 +282,10 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     differ in ten bits on average, so most pairs of different texts lie beyond any radius that a ball can have; an exact
     way finds the rest, whatever their bits: sets whose prefixes share a shingle meet, rare shingles first, since often
     met ones go to the end of the order. Of two sets the smaller can be met in its shorter prefix only: both together
-    hold fewer shingles than it needs to share with an equal or larger one. In each shingle's group all are tested
-    against the smallest, then those of different components against each other. Pairs within one component need no
-    test, so a large group of near copies is never listed by pairs.
+    hold fewer shingles than it needs to share with an equal or larger one. Each set is tested against the one most like
+    it, by marks, of some that are drawn from its shingles' groups, in ROUNDS rounds and each time of others; then those
+    of components that are still apart against each other. Pairs within one component need no test, so a large group of
+    near copies is never listed by pairs.
     """
     often: dict[int, int] = {}
     for entered in (False, True):
@@ -292,8 +301,7 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     unstaged(several)
     edges = close_links(sets, similarity)
     share = similarity / (1 + similarity)
-    one = F.struct("size", "sid", "place", "component", "coarse")
-    coarse = staged(sets.select("sid", _coarse(F.col("parts")).alias("coarse")), "coarse")
+    one = F.struct("size", "sid", "place", "component", "marks")
     short = F.col("place") < F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - F.lit(1e-6)) + 1
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -307,27 +315,32 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         return found
 
     def candidates(met: DataFrame) -> DataFrame:
-        """Pairs of the structs x and y, x the smaller; no more can be shared than what follows the first common shingle, itself included, nor than the lesser counts of each part of the hashes' range."""
+        """Pairs of the structs x and y; no more can be shared than what follows the first common shingle, itself included, and what the marks tell apart is shared by neither."""
         both = F.col("x.size") + F.col("y.size")
         most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-        found = met.where("x.component <> y.component and (x.size < y.size or (x.size = y.size and x.sid < y.sid))")
-        found = found.where((most + 1e-6 >= F.lit(share) * both) & (F.col("x.size") + 1e-6 >= F.lit(similarity) * F.col("y.size")))
-        bound = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-        found = found.where(bound + 1e-6 >= F.lit(share) * both)
-        return found.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
-
-    for smallest in (True, False):
+        size = lambda end: F.col(f"{end}.size")
+        found = met.where(F.col("x.component") != F.col("y.component"))
+        found = found.where((most + 1e-6 >= F.lit(share) * both) & (F.least(size("x"), size("y")) + 1e-6 >= F.lit(similarity) * F.greatest(size("x"), size("y"))))
+        found = found.where((both - _apart("x.marks", "y.marks")) / 2 + 1e-6 >= F.lit(share) * both)
+        return found.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), _apart("x.marks", "y.marks").alias("apart"))
+
+    before_y = "(x.size < y.size or (x.size = y.size and x.sid < y.sid))"
+    for turn in range(ROUNDS + 1):
         rows = labelled(rows)
         if rows.isEmpty():
             break
-        marked = rows.join(coarse, "sid")
-        xs, ys = marked.where(short).select("token", one.alias("x")), marked.select("token", one.alias("y"))
-        if smallest:
-            xs = xs.groupBy("token").agg(F.min("x").alias("x"))
-        found = _similar(candidates(xs.join(ys, "token")), sets, similarity)
+        marked = rows.join(sets.select("sid", "marks"), "sid")
+        ys = marked.select("token", one.alias("y"), short.alias("y_short"))
+        if turn < ROUNDS:
+            drawn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("x.sid", F.lit(turn))))
+            xs = marked.select("token", one.alias("x"), short.alias("x_short")).withColumn("k", drawn).where(F.col("k") <= DRAWN)
+            pairs = candidates(xs.join(ys, "token").where(F.expr(f"if({before_y}, x_short, y_short)"))).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+        else:
+            pairs = candidates(marked.where(short).select("token", one.alias("x")).join(ys, "token").where(before_y))
+        found = _similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, similarity)
         before, edges = edges, staged(edges.union(found), "edges")
         unstaged(before, found)
-    unstaged(rows, coarse)
+    unstaged(rows)
     return edges
 
 
@@ -342,7 +355,7 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float) -> DataFram
     prints = staged(_shingle_sets(keyed, shingle_words).select("doc_id", "key", "sid"), "prints")
     firsts = staged(prints.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("first")), "firsts")
     own = keyed.withColumn("key", _row_key()).join(firsts.select("first.doc_id", "first.key"), ["doc_id", "key"], "left_semi").drop("key")
-    sets = staged(_shingle_sets(own, shingle_words).select("sid", "fp", "shingles", "parts"), "sets")
+    sets = staged(_shingle_sets(own, shingle_words).select("sid", "fp", "shingles", "parts", "marks"), "sets")
     edges = similar_links(sets, similarity)
     found = connected_components(edges)
     unstaged(sets, edges)

@@ -134,3 +134,27 @@ def test_near_duplicates_of_close_fingerprints_test_every_pair(spark):
     want = brute_groups(texts)
     assert want != list(range(len(texts))) and len(set(want)) > 48
     assert near_groups(spark, texts) == want
+
+
+def test_a_large_group_of_near_copies_is_not_compared_by_all_pairs(spark, monkeypatch):
+    """Copies of one text with edits at different places: few pairs are tested, and they connect what all pairs connect."""
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((2, 3))):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    to = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) and to[i] != to[j]:
+                low, high = sorted((to[i], to[j]))
+                to = [low if t == high else t for t in to]
+    tested, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *more: (tested.append(pairs.distinct().count()), similar(pairs, *more))[1])
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(to))
+    assert max(tested) <= 4 * len(texts)
