@@ -70,3 +70,10 @@ def test_fill_and_generated(spark):
     supplies = pool.groupBy("c").agg(F.count("*").alias("supply"))
     got = {r.c: r["count"] for r in sampling.generated(supplies, pool, "c", ["id"], 14).groupBy("c").count().collect()}
     assert got == {"a": 10, "b": 3, "z": 1}
+
+
+def test_a_small_sample_reads_its_rows_once(spark):
+    rows = spark.range(1000).withColumn("g", F.col("id") % 3)
+    for strata in (["g"], []):
+        plan = sampling.bottom_k(rows, strata, ["id"], 4)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Range (0, 1000") == 1
