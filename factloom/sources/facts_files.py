@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .datasets import read_texts
 from .devices import dense
+from .staging import staged
 
 _PEERS = "array<struct<id: string, ip: string, remote_as: string, update_source: string>>"
 #: A device's document; secrets aren't in it.
@@ -66,6 +67,20 @@ def tables(documents: DataFrame) -> dict[str, DataFrame]:
     return {"devices": devices, "users": users, "servers": explode("servers").select("ord", "x.kind", "x.value"), "interfaces": ifs, "neighbors": neighbors, "vrfs": vrfs, "service_vrfs": services, "xconnects": xconnects, "areas": areas.union(bare)}
 
 
+def staged_tables(found: DataFrame) -> dict[str, DataFrame]:
+    """tables() of documents that are costly to make: these are made three times in all, not for each use of each table.
+
+    A device's neighbors and pseudowires may be very many; they are written as rows, and the rest of the documents
+    without them, so that no reader holds a batch of long lists.
+    """
+    t = tables(found)
+    none = F.lit(None)
+    short = F.col("d").withField("routing.bgp.neighbors", none.cast(_PEERS)).withField("services.l2vpn", none.cast("array<struct<neighbor: string, pw_id: string>>"))
+    short = short.withField("routing.bgp.vrfs", F.transform("d.routing.bgp.vrfs", lambda v: v.withField("neighbors", none.cast(_PEERS))))
+    rest = tables(staged(found.withColumn("d", short), "documents"))
+    return rest | {name: staged(t[name], name) for name in ("neighbors", "xconnects")}
+
+
 def documents(t: dict[str, DataFrame]) -> DataFrame:
     """(ord, d): the facts tables as a document for each device, as DOCUMENT says; lists hold one device's rows. Import and export targets are counted in the tables, so documents have as many unnamed ones; a VRF that only neighbors name is marked undefined."""
 

@@ -35,5 +35,5 @@ _GROUPS = (metrics.device_fields, metrics.server_lists, metrics.users, metrics.i
 def facts_round_trip(spark, sf):
     """Answers from facts that went through documents and back: the same as from the tables."""
     found = facts_files.documents(facts.derived(spark, sf)).select("ord", F.col("d.file").alias("file"), F.from_json(F.to_json("d"), facts_files.DOCUMENT).alias("d"))
-    t = facts_files.tables(found)
+    t = facts_files.staged_tables(found)
     return reduce(DataFrame.union, [g(t) for g in _GROUPS])
